@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.plans import q_demand  # noqa: F401
+from tidewell.plans import q_demand, q_features  # noqa: F401
 from tidewell.plans.registry import REGISTRY
 
 

@@ -87,10 +87,15 @@ def series_sql(src: str = "demand", name: str = "series") -> str:
   SELECT *, {_series_cols()}
   FROM {src}
 ),
-{name} AS (
+{name}_lags AS (
   SELECT * EXCLUDE ({', '.join(f'_lag{k}' for k in LAGS)}),
          {_lag_fill()}
   FROM {name}_raw
+),
+{name} AS (
+  SELECT *, Lag_1 / (Rolling_Mean_3 + 1) AS Momentum_3, Lag_1 / (Rolling_Mean_6 + 1) AS Momentum_6,
+         Rolling_Std_4 / (Rolling_Mean_4 + 1) AS Volatility_4, Rolling_Std_8 / (Rolling_Mean_8 + 1) AS Volatility_8
+  FROM {name}_lags
 )"""
 
 
