@@ -25,20 +25,36 @@ from pyspark.sql import functions as F
 from tidewell.session import cut_lineage
 
 
-def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
-                 buckets: int = 64, with_next: bool = True) -> DataFrame:
-    """Add ``cum_<c>`` (inclusive running sum of c ordered by ``order_col``) and
-    ``next_<order_col>`` per group.  Rows must be unique per (group, order_col)."""
+MAX_BUCKETS = 256
+
+
+def buckets_for(rows: int, groups: int = 1, target_rows: int = 2_000_000) -> int:
+    """Buckets per group so that a (group, bucket) window holds about ``target_rows``."""
+    per_group = max(1, rows // max(1, groups))
+    return int(min(MAX_BUCKETS, max(1, -(-per_group // target_rows))))
+
+
+def _bucketed(df: DataFrame, group_cols: list[str], key_col: str, buckets: int) -> DataFrame:
+    """Add ``_b``: an order-preserving bucket of ``key_col`` within each group."""
+    if buckets <= 1:
+        return df.withColumn("_b", F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
     # Approximate quantiles depend on the order partial results are merged in; the
     # bounds feed both sides of the computation, so they are materialised once
     # (reliable checkpoint in the shared checkpoint folder, #groups rows).
     bounds = cut_lineage(df.groupBy(*group_cols).agg(
-        F.percentile_approx(order_col, probs, 1000).alias("_bounds")))
-    v = F.col(order_col)
-    keyed = (df.join(bounds, group_cols)
-             .withColumn("_b", F.size(F.filter("_bounds", lambda x: x < v)))
-             .drop("_bounds"))
+        F.percentile_approx(key_col, probs, 1000).alias("_bounds")))
+    k = F.col(key_col)
+    return (df.join(bounds, group_cols)
+            .withColumn("_b", F.size(F.filter("_bounds", lambda x: x < k)))
+            .drop("_bounds"))
+
+
+def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
+                 buckets: int = 64, with_next: bool = True) -> DataFrame:
+    """Add ``cum_<c>`` (inclusive running sum of c ordered by ``order_col``) and
+    ``next_<order_col>`` per group.  Rows must be unique per (group, order_col)."""
+    keyed = _bucketed(df, group_cols, order_col, buckets)
     totals = keyed.groupBy(*group_cols, "_b").agg(
         *[F.sum(c).alias(f"_t_{c}") for c in sum_cols],
         F.min(order_col).alias("_bmin"))
@@ -55,3 +71,22 @@ def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
     if with_next:
         out = out.withColumn(f"next_{order_col}", F.coalesce(F.lead(order_col).over(w), F.col("_next_bmin")))
     return out.drop("_b", "_next_bmin", *[f"_o_{c}" for c in sum_cols])
+
+
+def running_max(df: DataFrame, group_cols: list[str], key_col: str, tie_col: str, value_col: str,
+                out_col: str, buckets: int = 64) -> DataFrame:
+    """``out_col`` = max of ``value_col`` over rows with (key, tie) <= the row's, per group.
+
+    With ``value_col`` set only on "source" rows and monotone along the key, this
+    is an as-of lookup (forward fill) of the latest source row for every other
+    row, computed in two levels like ``running_sums``.
+    """
+    keyed = _bucketed(df, group_cols, key_col, buckets)
+    bmax = keyed.groupBy(*group_cols, "_b").agg(F.max(value_col).alias("_bm"))
+    wb = Window.partitionBy(*group_cols).orderBy("_b")
+    prefix = bmax.select(*group_cols, "_b",
+                         F.max("_bm").over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_pm"))
+    w = Window.partitionBy(*group_cols, "_b").orderBy(key_col, tie_col).rowsBetween(Window.unboundedPreceding, 0)
+    return (keyed.join(prefix, group_cols + ["_b"])
+            .withColumn(out_col, F.greatest(F.col("_pm"), F.max(value_col).over(w)))
+            .drop("_b", "_pm"))

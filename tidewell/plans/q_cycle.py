@@ -242,12 +242,13 @@ nfc AS (SELECT f.Store, f.Product, f.Date, f.Predicted_Demand,
 
 
 @query("per_product_forecast", _NEXT_FC + f"""
-SELECT Product, {R('avg(Predicted_Demand)', 2)} AS mean_predicted, {R('avg(CI_Lower)', 2)} AS mean_lower,
-       {R('avg(CI_Upper)', 2)} AS mean_upper, count(*) AS rows
+SELECT Product, {R('avg(Predicted_Demand)', 4)} AS mean_predicted, {R('avg(CI_Lower)', 4)} AS mean_lower,
+       {R('avg(CI_Upper)', 4)} AS mean_upper, count(*) AS rows
 FROM nfc GROUP BY Product""", ids="A26 A37 M4b")
 def q_per_product_forecast(spark, sf):
     fc = next_month_forecast(spark, sf)
-    return fc.groupBy("Product").agg(F.round(F.avg("Predicted_Demand"), 2).alias("mean_predicted"),
-                                     F.round(F.avg("CI_Lower"), 2).alias("mean_lower"),
-                                     F.round(F.avg("CI_Upper"), 2).alias("mean_upper"),
+    # means of 2-decimal values are reported at 4 decimals (no rounding ties)
+    return fc.groupBy("Product").agg(F.round(F.avg("Predicted_Demand"), 4).alias("mean_predicted"),
+                                     F.round(F.avg("CI_Lower"), 4).alias("mean_lower"),
+                                     F.round(F.avg("CI_Upper"), 4).alias("mean_upper"),
                                      F.count(F.lit(1)).alias("rows"))
