@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.plans import q_cycle, q_demand, q_drift, q_features, q_reports  # noqa: F401
+from tidewell.plans import q_cycle, q_demand, q_drift, q_features, q_models, q_reports  # noqa: F401
 from tidewell.plans.registry import REGISTRY
 
 
