@@ -28,6 +28,8 @@ def _assembler(features: list[str]) -> VectorAssembler:
 def fit_gbt(train: DataFrame, features: list[str], maxIter: int = 100, maxDepth: int = 6,
             stepSize: float = 0.1, seed: int = 42) -> PipelineModel:
     """Gradient-boosted regression of Demand (M1); row subsampling 0.8 as in the reference."""
+    from tidewell.operators.split import require_rows
+    require_rows(train, 20)
     gbt = GBTRegressor(labelCol="Demand", featuresCol="features", maxIter=maxIter, maxDepth=maxDepth,
                        stepSize=stepSize, subsamplingRate=0.8, minInstancesPerNode=3, maxBins=256, seed=seed)
     return Pipeline(stages=[_assembler(features), gbt]).fit(train)

@@ -90,3 +90,15 @@ def validation_halves(df: DataFrame, month_col: str = "month") -> DataFrame:
             .withColumn("half", F.when(F.col("position") <= F.floor(F.col("_month_rows") / 2), "first")
                         .otherwise("second"))
             .drop("_before"))
+
+
+def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """Deterministic fixed-size sample (P15): the n rows with the smallest seeded hash of
+    their keys (a top-k, planned as per-partition take-ordered then merge)."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), *keys).limit(n)
+
+
+def require_rows(df: DataFrame, minimum: int = 20) -> None:
+    """Minimum training size (P8); counts at most ``minimum`` rows."""
+    if df.limit(minimum).count() < minimum:
+        raise ValueError(f"Training set too small (< {minimum} rows).")

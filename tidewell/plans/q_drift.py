@@ -43,18 +43,19 @@ def per_feature(spark, sf) -> DataFrame:
     return drift.feature_drift(baseline, current, FEATURES, month_col=M).withColumnRenamed(M, "month")
 
 
-def month_reports(spark, sf) -> DataFrame:
-    baseline, current = _inputs(spark, sf)
+def month_reports(spark, sf, inputs=None) -> DataFrame:
+    baseline, current = inputs or _inputs(spark, sf)
     pf = drift.feature_drift(baseline, current, FEATURES, month_col=M)
     trend = drift.error_trend(baseline, current, month_col=M)
     return drift.month_severity(pf, trend, month_col=M).withColumnRenamed(M, "month")
 
 
-def monitor_decisions(spark, sf) -> DataFrame:
+def monitor_decisions(spark, sf, inputs=None, months=None) -> DataFrame:
     """Per month, monitor when no drift, else fine_tune when the second half's MAE
     is at least 5 % worse than the first half's (positional halves, P21)."""
-    months = month_reports(spark, sf)
-    _, current = _inputs(spark, sf)
+    inputs = inputs or _inputs(spark, sf)
+    months = months if months is not None else month_reports(spark, sf, inputs)
+    _, current = inputs
     halves = split.validation_halves(current.select("Store", "Product", "Date", F.col(M).alias("month"), "error"))
     n = F.col("_month_rows")
     first = F.col("position") <= F.greatest(F.lit(1), F.floor(n / 2))
@@ -290,11 +291,12 @@ SELECT b.month, b.records, b.mean_actual, b.mean_pred, {R('abs(b.mean_actual - b
        s.error_increase AS error_ratio, coalesce(s.severity, 'N/A') AS severity
 FROM batch b LEFT JOIN sev s ON b.month = s.month""", ids="J5 A19")
 def q_batches_with_drift(spark, sf):
-    _, current = _inputs(spark, sf)
+    inputs = _inputs(spark, sf)
+    _, current = inputs
     batch = current.groupBy(F.col(M).alias("month")).agg(F.count(F.lit(1)).alias("records"),
                                          F.round(F.avg("Rolling_Mean_4"), 2).alias("mean_pred"),
                                          F.round(F.avg("Demand"), 2).alias("mean_actual"))
-    sev = month_reports(spark, sf).select("month", "error_increase", "severity")
+    sev = month_reports(spark, sf, inputs).select("month", "error_increase", "severity")
     return (batch.join(sev, "month", "left")
             .select("month", "records", "mean_actual", "mean_pred",
                     F.round(F.abs(F.col("mean_actual") - F.col("mean_pred")), 2).alias("mae"),
@@ -309,8 +311,9 @@ SELECT s.month, s.current_error, s.baseline_error, {R('s.error_increase * 100',
        coalesce(a.action, 'monitor') AS action
 FROM sev s LEFT JOIN actions a ON s.month = a.month""", ids="P22 P23 J10")
 def q_drift_chart_rows(spark, sf):
-    m = month_reports(spark, sf)
-    a = monitor_decisions(spark, sf).select("month", "action")
+    inputs = _inputs(spark, sf)
+    m = month_reports(spark, sf, inputs)
+    a = monitor_decisions(spark, sf, inputs, m).select("month", "action")
     return (m.join(a, "month", "left")
             .select("month", "current_error", "baseline_error",
                     F.round(F.col("error_increase") * 100, 1).alias("error_increase_pct"),
@@ -362,3 +365,31 @@ def correlation_importance(df: DataFrame, features: list[str], target: str = "De
     (one aggregate pass) for the dynamic thresholds when no model importances are given."""
     row = df.agg(*[F.coalesce(F.abs(F.corr(F.col(c).cast("double"), target)), F.lit(0.0)).alias(c) for c in features])
     return row.unpivot([], features, "feature", "importance")
+
+
+_FAMILY_SQL = """CASE WHEN starts_with(feature, 'Lag_') THEN 'Lag'
+     WHEN starts_with(feature, 'Rolling_') OR starts_with(feature, 'Momentum_') OR starts_with(feature, 'Volatility_')
+          THEN 'Rolling'
+     WHEN feature IN ('Year','Month','Week','Quarter','DayOfYear','Season','Is_Year_End','Is_Year_Start','Is_Q4',
+                      'Near_Holiday','Week_Sin','Week_Cos','Month_Sin','Month_Cos') OR starts_with(feature, 'Weeks_To_')
+          THEN 'Temporal'
+     WHEN starts_with(feature, 'Store_') OR starts_with(feature, 'Product_') OR starts_with(feature, 'Demand_vs_')
+          THEN 'Product Stats'
+     WHEN contains(feature, '_x_') THEN 'Interaction'
+     ELSE 'Raw Inputs' END"""
+
+
+@query("feature_families", DRIFT + """,
+imp AS (UNPIVOT (SELECT """ + ", ".join(f"coalesce(abs(corr({c}, Demand)), 0.0) AS {c}" for c in FEATURES) + """
+                 FROM base_rows) ON """ + ", ".join(FEATURES) + """ INTO NAME feature VALUE raw),
+fam AS (SELECT feature, """ + R("raw", 6) + """ AS importance, """ + _FAMILY_SQL + """ AS family FROM imp)
+SELECT feature, family, importance,
+       """ + R("sum(importance) OVER (PARTITION BY family) / greatest(sum(importance) OVER (), 1e-300)", 4) + """ AS family_share,
+       CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank,
+       CAST(row_number() OVER (PARTITION BY family ORDER BY importance DESC, feature) AS INTEGER) AS rank_in_family
+FROM fam""", ids="A36 O2 O7 P17")
+def q_feature_families(spark, sf):
+    from tidewell.plans.q_models import feature_families
+    baseline, _ = _inputs(spark, sf)
+    imp = correlation_importance(baseline, FEATURES).withColumn("importance", F.round("importance", 6))
+    return feature_families(imp)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import analysis, reports
 from tidewell.plans import base
 from tidewell.plans.registry import query
-from tidewell.plans.sqlbase import BASE, BASE_PRED, R, with_ctes
+from tidewell.plans.sqlbase import BASE, BASE_PRED, BASE_SPLIT as BASE_SPLIT_, R, with_ctes
 
 P = with_ctes(*BASE_PRED)
 PAIRS = "(SELECT * FROM preds WHERE Demand IS NOT NULL AND Predicted IS NOT NULL)"
@@ -257,3 +257,31 @@ def q_demand_vs_forecast(spark, sf):
 SELECT * FROM preds ORDER BY Store, Product, Date LIMIT 150""", ids="O4")
 def q_first_rows(spark, sf):
     return reports.first_rows(base.predictions(spark, sf), 150)
+
+
+@query("store_stats_fallback", P + "," + _BATCH + f""",
+g AS (SELECT coalesce(avg(abs(coalesce(mean_actual, 0.0) - coalesce(mean_pred, 0.0))), 0.0) AS mae FROM batch)
+SELECT Store, {R('avg(Demand)', 2)} AS avg_sales, count(Demand) AS count, {R('max(g.mae)', 2)} AS mae
+FROM demand, g GROUP BY Store""", ids="A10b")
+def q_store_stats_fallback(spark, sf):
+    return reports.store_stats_fallback(base.demand(spark, sf),
+                                        reports.batch_summary(base.predictions(spark, sf)))
+
+
+@query("dataset_summary", with_ctes(*BASE_SPLIT_) + f""",
+info AS (SELECT max(CASE WHEN yr = CASE WHEN ny > 3 THEN 4 ELSE ny END THEN y END) AS test_year FROM years)
+SELECT count(*) AS rows, count(DISTINCT Store) AS stores, min(Date) AS date_min, max(Date) AS date_max,
+       {R('avg(Demand)', 4)} AS demand_mean, min(Demand) AS demand_min, max(Demand) AS demand_max,
+       count(*) FILTER (WHERE year(Date) IN (SELECT y FROM years WHERE yr <= 3)) AS train_rows,
+       count(*) FILTER (WHERE year(Date) = (SELECT test_year FROM info)) AS test_rows
+FROM demand""", ids="A27 A3 P4")
+def q_dataset_summary(spark, sf):
+    from tidewell.operators import split
+    d = base.demand(spark, sf)
+    train_years, test_year = split.split_years(d)
+    y = F.year("Date")
+    return d.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("Store").alias("stores"),
+                 F.min("Date").alias("date_min"), F.max("Date").alias("date_max"),
+                 F.round(F.avg("Demand"), 4).alias("demand_mean"), F.min("Demand").alias("demand_min"),
+                 F.max("Demand").alias("demand_max"),
+                 F.count_if(y.isin(train_years)).alias("train_rows"), F.count_if(y == test_year).alias("test_rows"))
