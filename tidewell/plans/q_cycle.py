@@ -24,8 +24,7 @@ FIRST_TARGET = "1999-01"
 
 # ── Spark side ─────────────────────────────────────────────────────────────
 def uploads(spark, sf):
-    raw = raw_daily(spark, sf).where(F.col("date") >= F.lit(UPLOAD_FROM).cast("date"))
-    return weekly.weekly_rollup(raw, rule="strict")
+    return weekly.weekly_rollup(raw_daily(spark, sf, since=UPLOAD_FROM), rule="strict")
 
 
 def replaced(spark, sf):
@@ -47,7 +46,7 @@ def compared(spark, sf):
 
 def baseline_mae(spark, sf):
     """Training MAE of the naive forecast (full precision): a one-row frame."""
-    d = base.demand(spark, sf)
+    d = base.demand_once(spark, sf)
     train_years, _ = split.split_years(d)
     s = add_series_features(d, ["Store", "Product"]).where(F.year("Date").isin(train_years))
     return s.agg(F.avg(F.abs(F.col("Demand") - F.coalesce("Rolling_Mean_4", F.lit(0.0)))).alias("baseline_mae"))

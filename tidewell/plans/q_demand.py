@@ -26,7 +26,7 @@ WHERE year(wk) <= 1998
 GROUP BY 1, 2, 3""", ids="A1 P1 F6")
 def q_weekly_strict(spark, sf):
     # The prepared history ends with the year 1998 (later years play later uploads)
-    return weekly.weekly_rollup(raw_daily(spark, sf), rule="strict", year_ceiling=1998)
+    return weekly.weekly_rollup(raw_daily(spark, sf, until="1999-01-01"), rule="strict", year_ceiling=1998)
 
 
 @query("weekly_int_ids", with_ctes(RAW_DAILY_SQL) + f"""

@@ -27,7 +27,7 @@ def round_doubles(df: DataFrame, k: int = 4, skip: tuple[str, ...] = ()) -> Data
 
 
 def _features(spark, sf):
-    d = base.demand(spark, sf)
+    d = base.demand_once(spark, sf)
     train, _, _, _ = split.year_split(d)
     state = fe.fit(train)
     out, names = fe.transform(d, state)

@@ -22,10 +22,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw daily retail rows: one per sales line."""
+def raw_daily(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Raw daily retail rows: one per sales line.
+
+    ``since`` / ``until`` (ISO dates, until exclusive) filter the raw ship
+    timestamp itself, so the range reaches the Parquet scan as a pushed filter.
+    """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+    if since is not None:
+        li = li.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        li = li.where(F.col("l_shipdate") < F.lit(until).cast("timestamp_ntz"))
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
