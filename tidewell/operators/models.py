@@ -26,10 +26,11 @@ def _assembler(features: list[str]) -> VectorAssembler:
 
 
 def fit_gbt(train: DataFrame, features: list[str], maxIter: int = 100, maxDepth: int = 6,
-            stepSize: float = 0.1, seed: int = 42) -> PipelineModel:
-    """Gradient-boosted regression of Demand (M1); row subsampling 0.8 as in the reference."""
+            stepSize: float = 0.1, seed: int = 42, min_rows: int = 20) -> PipelineModel:
+    """Gradient-boosted regression of Demand (M1); row subsampling 0.8 as in the reference.
+    A training set under ``min_rows`` rows is refused (P8)."""
     from tidewell.operators.split import require_rows
-    require_rows(train, 20)
+    require_rows(train, min_rows)
     gbt = GBTRegressor(labelCol="Demand", featuresCol="features", maxIter=maxIter, maxDepth=maxDepth,
                        stepSize=stepSize, subsamplingRate=0.8, minInstancesPerNode=3, maxBins=256, seed=seed)
     return Pipeline(stages=[_assembler(features), gbt]).fit(train)
@@ -121,15 +122,17 @@ def _product(lists):
 
 
 def heal_month(model: PipelineModel, month_rows: DataFrame, features: list[str], params: dict,
-               order=("Store", "Product", "Date")) -> dict:
+               month_col: str = "YearMonth") -> dict:
     """Heal decision for one month (M7): a candidate is fitted on the first half and kept
     when it lowers the second half's MAE by at least 5 %; the current model is never mutated."""
     from tidewell.operators.split import validation_halves
-    halves = validation_halves(month_rows)
+    # the month key must not be called "month": names resolve case-insensitively and Month is a feature
+    halves = validation_halves(month_rows, month_col)
     first = halves.where(F.col("half") == "first")
     second = halves.where(F.col("half") == "second")
     base_mae = predict(model, second).agg(F.avg(F.abs(F.col("Demand") - F.col("Predicted")))).first()[0]
-    cand = fit_gbt(first, features, **params)
+    # the candidate is a refit on half a month: no minimum size, as in the reference's fine-tune
+    cand = fit_gbt(first, features, **params, min_rows=1)
     new_mae = predict(cand, second).agg(F.avg(F.abs(F.col("Demand") - F.col("Predicted")))).first()[0]
     improvement = (base_mae - new_mae) / (base_mae + 1e-9)
     if improvement >= HEAL_MIN_IMPROVEMENT:

@@ -34,7 +34,8 @@ def _inputs(spark, sf):
     # baseline and current both read the feature table: computed once
     feats = cut_lineage(feats)
     baseline = feats.where(F.year("Date").isin(train_years))
-    current = feats.where(F.year("Date") == test_year)
+    # Months with fewer than two rows are not monitored
+    current = split.month_rows_at_least(feats.where(F.year("Date") == test_year), 2)
     return baseline, current
 
 
@@ -90,7 +91,9 @@ FROM series s LEFT JOIN sstats ss ON s.Store = ss.Store LEFT JOIN pstats ps ON s
 JOIN years y ON year(s.Date) = y.y
 WHERE s.Demand IS NOT NULL),
 base_rows AS (SELECT * FROM ft WHERE yr <= 3),
-cur_rows AS (SELECT * FROM ft WHERE yr = CASE WHEN ny > 3 THEN 4 ELSE ny END),
+cur_rows AS (SELECT * FROM ft WHERE yr = CASE WHEN ny > 3 THEN 4 ELSE ny END
+             AND YearMonth IN (SELECT YearMonth FROM ft WHERE yr = CASE WHEN ny > 3 THEN 4 ELSE ny END
+                               GROUP BY 1 HAVING count(*) >= 2)),
 long_b AS (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURES)} FROM base_rows)
            ON {', '.join(FEATURES)} INTO NAME feature VALUE raw),
 long_c AS (UNPIVOT (SELECT YearMonth, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURES)} FROM cur_rows)

@@ -82,11 +82,11 @@ def q_heal_decisions(spark, sf):
     from tidewell.functions.calendar import year_month
     train, test, names = _train_test(spark, sf)
     model = models.fit_gbt(train, names, **FAST)
-    test = test.withColumn("month", year_month("Date"))
-    months = sorted(r[0] for r in test.select("month").distinct().collect())
+    test = test.withColumn("YearMonth", year_month("Date"))
+    months = sorted(r[0] for r in test.select("YearMonth").distinct().collect())
     rows = []
     for m in months:   # one candidate fit per month: a driver loop over at most 12 months
-        d = models.heal_month(model, test.where(F.col("month") == m), names, FAST)
+        d = models.heal_month(model, test.where(F.col("YearMonth") == m), names, FAST)
         rows.append((m, d["action"], float(d["improvement"]), bool(d["model_updated"])))
     return spark.createDataFrame(rows, "month string, action string, improvement double, model_updated boolean")
 
