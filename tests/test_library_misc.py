@@ -83,3 +83,22 @@ def test_monitor_job(spark, tmpdir_path):
     months = out["months"].collect()
     assert months and all(r.severity in ("none", "mild", "severe") for r in months)
     assert spark.read.parquet(f"{tmpdir_path}/predictions").count() > 0
+
+
+def test_reconcile_job(spark, tmpdir_path):
+    import os
+    from tidewell.functions.calendar import year_month
+    from tidewell.plans import jobs
+    fix = os.path.join(os.path.dirname(__file__), "fixtures")
+    hist = ingest.load_demand(spark, f"{fix}/base_history.csv").withColumn("month", year_month("Date"))
+    hist.write.partitionBy("month").parquet(f"{tmpdir_path}/history")
+    fc = spark.createDataFrame([("1", "1", d(2019, 1, 11), 50.0, "2019-01"), ("1", "1", d(2019, 1, 18), 50.0, "2019-01")],
+                               "Store string, Product string, Date date, Predicted_Demand double, month string")
+    fc.write.partitionBy("month").parquet(f"{tmpdir_path}/forecasts")
+    out = jobs.reconcile_actuals(spark, f"{tmpdir_path}/history", f"{fix}/2019-01_actual.csv",
+                                 f"{tmpdir_path}/forecasts", tmpdir_path)
+    m = out["comparison"].first()
+    assert m.month == "2019-01" and m.mae == 7.0          # |mean(99, 15) - 50| = 7
+    h = spark.read.parquet(f"{tmpdir_path}/history")
+    assert sorted(r.Demand for r in h.where("month = '2019-01'").collect()) == [15.0, 99.0]
+    assert out["next_forecast"].count() > 0
