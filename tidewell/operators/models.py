@@ -143,3 +143,20 @@ def heal_month(model: PipelineModel, month_rows: DataFrame, features: list[str],
 def save_model(model: PipelineModel, path: str) -> None:
     """Versioned model write (K8)."""
     model.write().overwrite().save(path)
+
+
+def heal_months(model: PipelineModel, rows: DataFrame, features: list[str], params: dict,
+                month_col: str = "YearMonth", parallelism: int = 4) -> DataFrame:
+    """M7 for every month of ``rows``: the per-month candidate fits are independent,
+    so they are submitted as concurrent Spark jobs from a small driver thread pool."""
+    from concurrent.futures import ThreadPoolExecutor
+    months = sorted(r[0] for r in rows.select(month_col).distinct().collect())
+
+    def one(m):
+        d = heal_month(model, rows.where(F.col(month_col) == m), features, params, month_col)
+        return (m, d["action"], float(d["improvement"]), bool(d["model_updated"]))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        out = list(pool.map(one, months))
+    spark = SparkSession.getActiveSession()
+    return spark.createDataFrame(out, "month string, action string, improvement double, model_updated boolean")

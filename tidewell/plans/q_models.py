@@ -9,6 +9,7 @@ from tidewell.operators import forecast, models, split
 from tidewell.plans import base
 from tidewell.plans.registry import query
 from tidewell.plans.sqlbase import R
+from tidewell.session import cut_lineage
 from tidewell.sources.tables import read_table
 from tidewell.streaming.jobs import windowed_error_trend, windowed_event_values
 
@@ -17,7 +18,7 @@ FAST = {"maxIter": 50, "maxDepth": 3, "stepSize": 0.1}
 
 
 def _train_test(spark, sf):
-    d = base.demand(spark, sf)
+    d = base.demand_once(spark, sf)
     train_years, test_year = split.split_years(d)
     train = d.where(F.year("Date").isin(train_years))
     state = fe.fit(train)
@@ -82,13 +83,8 @@ def q_heal_decisions(spark, sf):
     from tidewell.functions.calendar import year_month
     train, test, names = _train_test(spark, sf)
     model = models.fit_gbt(train, names, **FAST)
-    test = test.withColumn("YearMonth", year_month("Date"))
-    months = sorted(r[0] for r in test.select("YearMonth").distinct().collect())
-    rows = []
-    for m in months:   # one candidate fit per month: a driver loop over at most 12 months
-        d = models.heal_month(model, test.where(F.col("YearMonth") == m), names, FAST)
-        rows.append((m, d["action"], float(d["improvement"]), bool(d["model_updated"])))
-    return spark.createDataFrame(rows, "month string, action string, improvement double, model_updated boolean")
+    test = cut_lineage(test.withColumn("YearMonth", year_month("Date")))
+    return models.heal_months(model, test, names, FAST, parallelism=6)
 
 
 # ── streaming operators on the events table (batch form) ─────────────────
