@@ -150,3 +150,9 @@ def q_month_cutoff_split(spark, sf):
     return labelled.groupBy("split").agg(
         F.count(F.lit(1)).alias("rows"), F.min("Date").alias("first_date"),
         F.max("Date").alias("last_date"), F.max("cutoff_date").alias("cutoff_date"))
+
+
+@query("distinct_stores", with_ctes(*BASE) + """
+SELECT DISTINCT Store FROM demand WHERE Store IS NOT NULL ORDER BY Store""", ids="A28 S13")
+def q_distinct_stores(spark, sf):
+    return analysis.distinct_sorted(base.demand(spark, sf), "Store")
