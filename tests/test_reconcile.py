@@ -64,3 +64,16 @@ def test_validation_halves_positional(spark):
     expected = [(s, p, dd, "first" if i < 6 else "second")
                 for i, (_, s, p, dd) in enumerate(sorted(rows, key=lambda r: (r[1], r[2], r[3])))]
     assert got == sorted(expected)
+
+
+def test_fill_from_last_row_and_names(spark):
+    d = dt.date
+    hist = spark.createDataFrame([("1", "1", d(2019, 1, 4), 1.0, 2.5, None), ("1", "1", d(2019, 1, 11), 1.0, 3.5, None)],
+                                 "Store string, Product string, Date date, Demand double, Price double, Promo int")
+    up = spark.createDataFrame([("1", "1", d(2019, 2, 1), 9.0)], "Store string, Product string, Date date, Demand double")
+    r = reconcile.fill_from_last_row(up, hist).first()
+    assert r.Price == 3.5 and r.Promo == 0
+    names = spark.createDataFrame([("7", "Widget")], "Product string, name string")
+    df = spark.createDataFrame([("7",), ("8",), ("x",)], "Product string")
+    got = {r.Product: r.name for r in reconcile.attach_names(df, names, "Product", "Product").collect()}
+    assert got == {"7": "Widget", "8": "Product 8", "x": "x"}

@@ -65,6 +65,7 @@ def reconcile_actuals(spark: SparkSession, history_path: str, actuals_csv: str,
     compared = reconcile.compare_actuals(upload, fc, keys) if keys else reconcile.compare_global(upload, fc)
     metrics = reconcile.comparison_metrics(compared)
     sinks.append_log(metrics.withColumn("run_ts", F.lit(_ts())), f"{out_root}/monthly_comparisons")
+    upload = reconcile.fill_from_last_row(upload, history.drop("month"))
     sinks.replace_month_partitions(upload.select(*history.columns), history_path, f"{out_root}/staging")
     new_history = spark.read.parquet(history_path)
     target = new_history.agg(F.date_format(F.add_months(F.max("Date"), 1), "yyyy-MM").alias("t")).first()["t"]

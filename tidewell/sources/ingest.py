@@ -1,4 +1,5 @@
-"""Messy CSV ingest and schema normalisation.
+"""Messy CSV ingest and schema normalisation (S1-S9, S12, S13, S16; string clean-up F16:
+trim, lower, replace, regex strip of headers and values).
 
 Files are read as text lines so that the repairs the reference makes on raw
 text (BOM, rows wrapped whole in quotes, a single quoted header) happen

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 
 def write_predictions(pred: DataFrame, path: str, run_ts: str) -> None:
-    """Per-month prediction rows of one run (K1, K1b): partitioned by month and run."""
+    """Per-month prediction rows of one run (K1, K1b): partitioned by month and run,
+    rows in the canonical Store, Product, Date order inside each file (O1)."""
     (pred.withColumn("run_ts", F.lit(run_ts))
      .repartition("month")
      .sortWithinPartitions("Store", "Product", "Date")
