@@ -56,7 +56,7 @@ def future_scaffold(history: DataFrame, target_month: str | F.Column) -> DataFra
 
     Generated per series with ``explode`` (no join): the output is
     (#series x <= 5) rows.  Other columns carry the value of the row with the
-    latest date (J8), attached as a one-row broadcast; missing values -> 0.
+    latest date (J8), a one-row aggregate attached as literals; missing values -> 0.
     Series are the (Store, Product) pairs present in the history.
     """
     tm = F.lit(target_month) if isinstance(target_month, str) else target_month
@@ -65,8 +65,9 @@ def future_scaffold(history: DataFrame, target_month: str | F.Column) -> DataFra
                          F.lit(None).cast("double").alias("Demand"))
     extra = [c for c in history.columns if c not in ("Date", "Demand", "Store", "Product")]
     if extra:
-        last = history.agg(*[F.max_by(F.col(c), F.col("Date")).alias(c) for c in extra])
-        rows = rows.crossJoin(F.broadcast(last))
+        from tidewell.functions.scalars import row_literals
+        rows = rows.withColumns(row_literals(history.agg(*[F.max_by(F.col(c), F.col("Date")).alias(c)
+                                                           for c in extra])))
         rows = rows.fillna(0, subset=extra)
     return rows
 

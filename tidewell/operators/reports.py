@@ -271,11 +271,12 @@ def first_rows(pred: DataFrame, n: int = 150) -> DataFrame:
 def store_stats_fallback(history: DataFrame, batches: DataFrame) -> DataFrame:
     """Store averages and counts from the history with one global MAE: the mean over
     months of |mean actual - mean prediction| (A10b). The global MAE is a one-row
-    aggregate attached by a broadcast cross join of one row."""
+    aggregate attached as a literal."""
     g = batches.agg(F.coalesce(F.avg(F.abs(F.coalesce("mean_actual", F.lit(0.0)) -
                                            F.coalesce("mean_pred", F.lit(0.0)))), F.lit(0.0)).alias("mae"))
     s = history.groupBy("Store").agg(F.avg("Demand").alias("avg_sales"), F.count("Demand").alias("count"))
-    return _r2(s.crossJoin(F.broadcast(g)))
+    from tidewell.functions.scalars import row_literals
+    return _r2(s.withColumns(row_literals(g)))
 
 
 def sanitize(df: DataFrame) -> DataFrame:

@@ -54,11 +54,11 @@ def year_split_summary(df: DataFrame) -> DataFrame:
 def month_cutoff_split(df: DataFrame, train_months: int = 12) -> DataFrame:
     """Label rows train/test by cutoff = min(Date) + n months (P5).
 
-    The cutoff is a one-row aggregate attached by a broadcast cross join of
-    exactly one row.
+    The cutoff is a one-row aggregate attached as a literal.
     """
-    cutoff = df.agg(F.add_months(F.min("Date"), train_months).alias("cutoff_date"))
-    return (df.crossJoin(F.broadcast(cutoff))
+    from tidewell.functions.scalars import row_literals
+    cutoff = row_literals(df.agg(F.add_months(F.min("Date"), train_months).alias("cutoff_date")))
+    return (df.withColumns(cutoff)
             .withColumn("split", F.when(F.col("Date") < F.col("cutoff_date"), "train").otherwise("test")))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions.calendar import shift_month, year_month
+from tidewell.functions.scalars import row_literals
 from tidewell.operators import forecast, reconcile, split, weekly
 from tidewell.operators.features import add_series_features
 from tidewell.plans import base
@@ -54,8 +55,7 @@ def baseline_mae(spark, sf):
 
 def monthly_comparison_drift(spark, sf):
     metrics = reconcile.comparison_metrics(compared(spark, sf))
-    joined = metrics.crossJoin(F.broadcast(baseline_mae(spark, sf)))
-    return reconcile.comparison_drift(joined, F.col("baseline_mae"))
+    return reconcile.comparison_drift(metrics, row_literals(baseline_mae(spark, sf))["baseline_mae"])
 
 
 # ── SQL side ───────────────────────────────────────────────────────────────
@@ -197,13 +197,13 @@ def _next_month(hist):
 
 def scaffold(spark, sf):
     hist = replaced(spark, sf)
-    target = _next_month(hist)
-    series = hist.select("Store", "Product").distinct().crossJoin(F.broadcast(target))
+    target = row_literals(_next_month(hist))["target"]
     from tidewell.functions.calendar import month_fridays
-    rows = series.select("Store", "Product", F.explode(month_fridays(F.col("target"))).alias("Date"),
-                         F.lit(None).cast("double").alias("Demand"))
-    last = hist.agg(*[F.max_by(c, F.struct("Date", "Store", "Product")).alias(c) for c in ("Price", "Promo")])
-    return rows.crossJoin(F.broadcast(last)).fillna(0, subset=["Price", "Promo"])
+    rows = hist.select("Store", "Product").distinct().select(
+        "Store", "Product", F.explode(month_fridays(target)).alias("Date"), F.lit(None).cast("double").alias("Demand"))
+    last = row_literals(hist.agg(*[F.max_by(c, F.struct("Date", "Store", "Product")).alias(c)
+                                   for c in ("Price", "Promo")]))
+    return rows.withColumns(last).fillna(0, subset=["Price", "Promo"])
 
 
 _SCAFFOLD_SQL = f""",

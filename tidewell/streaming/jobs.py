@@ -52,15 +52,17 @@ def windowed_error_trend(errors: DataFrame, baseline: DataFrame, window: str = "
                          watermark: str = "1 hour", error_col: str = "error") -> DataFrame:
     """Windowed mean |error| of a stream against a static baseline mean (D5 rule).
 
-    The static side is a one-row aggregate: a stream-static join with one row.
+    The static baseline mean is computed once when the query is defined and
+    attached as a literal.
     """
-    base = baseline.agg(F.avg(F.abs(error_col)).alias("baseline_error"))
+    from tidewell.functions.scalars import row_literals
+    base = row_literals(baseline.agg(F.avg(F.abs(error_col)).alias("baseline_error")))
     errors = errors.withColumn("ts", F.col("ts").cast("timestamp"))
     cur = (errors.withWatermark("ts", watermark)
            .groupBy(F.window("ts", window).alias("w"))
            .agg(F.avg(F.abs(error_col)).alias("current_error"), F.count(F.lit(1)).alias("n")))
     inc = (F.col("current_error") - F.col("baseline_error")) / (F.col("baseline_error") + 1e-9)
-    return (cur.crossJoin(F.broadcast(base))
+    return (cur.withColumns(base)
             .select(F.col("w.start").alias("window_start"), "n",
                     F.round("baseline_error", 2).alias("baseline_error"),
                     F.round("current_error", 2).alias("current_error"),
