@@ -77,3 +77,24 @@ def test_fill_from_last_row_and_names(spark):
     df = spark.createDataFrame([("7",), ("8",), ("x",)], "Product string")
     got = {r.Product: r.name for r in reconcile.attach_names(df, names, "Product", "Product").collect()}
     assert got == {"7": "Widget", "8": "Product 8", "x": "x"}
+
+
+def test_hot_store_halves_and_dedupe(spark):
+    # one store carries a third of all rows: results stay exact (positions, latest source)
+    d = dt.date
+    rows = [("2019-01", "hot" if i % 3 == 0 else f"s{i % 7}", f"p{i % 5}", d(2019, 1, 1 + i % 28))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "month string, Store string, Product string, Date date").dropDuplicates()
+    n = df.count()
+    got = split.validation_halves(df).groupBy("half").count().collect()
+    assert {r.half: r["count"] for r in got} == {"first": n // 2, "second": n - n // 2}
+    u = reconcile.union_sources([df.withColumn("v", F.lit(1)), df.where("Store = 'hot'").withColumn("v", F.lit(2))])
+    last = reconcile.dedupe_last(u, ["Store", "Product", "Date"])
+    assert last.count() == n and last.where("Store = 'hot' AND v <> 2").count() == 0
+
+
+def test_upload_range_pushed_to_scan(spark):
+    from tidewell.sources.tables import raw_daily
+    plan = raw_daily(spark, "/root/testdata/sf0.001", since="1999-01-01")._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan
