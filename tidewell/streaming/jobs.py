@@ -37,11 +37,17 @@ def ingest_actuals_stream(spark: SparkSession, source_dir: str, schema, table_pa
             .trigger(availableNow=True).start())
 
 
-def windowed_event_values(events: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
+def _with_watermark(df: DataFrame, watermark: str | None) -> DataFrame:
+    """Watermarks need an instant type: wall-clock (NTZ) times are read in the session
+    time zone for streaming; batch use (no watermark) windows the wall clock directly."""
+    if watermark is None:
+        return df
+    return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+
+
+def windowed_event_values(events: DataFrame, window: str = "1 day", watermark: str | None = "1 hour") -> DataFrame:
     """Tumbling-window count and mean value per event type; data later than the watermark is dropped."""
-    # watermarks need an instant type; wall-clock timestamps are read in the session time zone
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return (events.withWatermark("ts", watermark)
+    return (_with_watermark(events, watermark)
             .groupBy(F.window("ts", window).alias("w"), "event_type")
             .agg(F.count(F.lit(1)).alias("events"), F.avg("value").alias("mean_value"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
@@ -49,7 +55,7 @@ def windowed_event_values(events: DataFrame, window: str = "1 day", watermark: s
 
 
 def windowed_error_trend(errors: DataFrame, baseline: DataFrame, window: str = "1 day",
-                         watermark: str = "1 hour", error_col: str = "error") -> DataFrame:
+                         watermark: str | None = "1 hour", error_col: str = "error") -> DataFrame:
     """Windowed mean |error| of a stream against a static baseline mean (D5 rule).
 
     The static baseline mean is computed once when the query is defined and
@@ -57,8 +63,7 @@ def windowed_error_trend(errors: DataFrame, baseline: DataFrame, window: str = "
     """
     from tidewell.functions.scalars import row_literals
     base = row_literals(baseline.agg(F.avg(F.abs(error_col)).alias("baseline_error")))
-    errors = errors.withColumn("ts", F.col("ts").cast("timestamp"))
-    cur = (errors.withWatermark("ts", watermark)
+    cur = (_with_watermark(errors, watermark)
            .groupBy(F.window("ts", window).alias("w"))
            .agg(F.avg(F.abs(error_col)).alias("current_error"), F.count(F.lit(1)).alias("n")))
     inc = (F.col("current_error") - F.col("baseline_error")) / (F.col("baseline_error") + 1e-9)
