@@ -35,7 +35,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     builder = (builder
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", os.environ.get("TIDEWELL_DRIVER_MEMORY", "8g")))
+               .config("spark.driver.memory", os.environ.get("TIDEWELL_DRIVER_MEMORY", "4g")))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
