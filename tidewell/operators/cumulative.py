@@ -54,6 +54,12 @@ def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
                  buckets: int = 64, with_next: bool = True) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum of c ordered by ``order_col``) and
     ``next_<order_col>`` per group.  Rows must be unique per (group, order_col)."""
+    if buckets <= 1:
+        # groups small enough for one window partition each: no bucket bookkeeping
+        w = Window.partitionBy(*group_cols).orderBy(order_col)
+        out = df.withColumns({f"cum_{c}": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+                              for c in sum_cols})
+        return out.withColumn(f"next_{order_col}", F.lead(order_col).over(w)) if with_next else out
     keyed = _bucketed(df, group_cols, order_col, buckets)
     totals = keyed.groupBy(*group_cols, "_b").agg(
         *[F.sum(c).alias(f"_t_{c}") for c in sum_cols],
@@ -81,6 +87,9 @@ def running_max(df: DataFrame, group_cols: list[str], key_col: str, tie_col: str
     is an as-of lookup (forward fill) of the latest source row for every other
     row, computed in two levels like ``running_sums``.
     """
+    if buckets <= 1:
+        w1 = Window.partitionBy(*group_cols).orderBy(key_col, tie_col).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out_col, F.max(value_col).over(w1))
     keyed = _bucketed(df, group_cols, key_col, buckets)
     bmax = keyed.groupBy(*group_cols, "_b").agg(F.max(value_col).alias("_bm"))
     wb = Window.partitionBy(*group_cols).orderBy("_b")
