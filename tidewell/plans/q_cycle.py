@@ -17,6 +17,7 @@ from tidewell.operators.features import add_series_features
 from tidewell.plans import base
 from tidewell.plans.registry import query
 from tidewell.plans.sqlbase import BASE, BASE_SPLIT, R, series_sql, week_closed, week_strict, with_ctes, ym
+from tidewell.session import cut_lineage
 from tidewell.sources.tables import raw_daily
 
 UPLOAD_FROM = "1999-01-01"
@@ -24,38 +25,40 @@ FIRST_TARGET = "1999-01"
 
 
 # ── Spark side ─────────────────────────────────────────────────────────────
-def uploads(spark, sf):
-    return weekly.weekly_rollup(raw_daily(spark, sf, since=UPLOAD_FROM), rule="strict")
+class Cycle:
+    """Inputs of one cycle job.  History and uploads are each built once; with
+    ``materialize`` they are written to the checkpoint folder, so a job that reads
+    them several times (months to replace, forecasts, actuals) scans lineitem twice
+    in total instead of once per use."""
 
+    def __init__(self, spark, sf, materialize: bool = True):
+        up = weekly.weekly_rollup(raw_daily(spark, sf, since=UPLOAD_FROM), rule="strict")
+        self.history = base.demand_once(spark, sf) if materialize else base.demand(spark, sf)
+        self.uploads = cut_lineage(up) if materialize else up
 
-def replaced(spark, sf):
-    return reconcile.replace_months(base.demand(spark, sf), uploads(spark, sf))
+    def replaced(self):
+        return reconcile.replace_months(self.history, self.uploads)
 
+    def forecasts(self):
+        fc = forecast.month_ahead_naive(self.replaced(), FIRST_TARGET)
+        return fc.withColumn("Predicted_Demand", F.round("Predicted_Demand", 2))
 
-def forecasts(spark, sf):
-    fc = forecast.month_ahead_naive(replaced(spark, sf), FIRST_TARGET)
-    return fc.withColumn("Predicted_Demand", F.round("Predicted_Demand", 2))
+    def actuals(self):
+        return self.uploads.withColumn("month", year_month("Date"))
 
+    def compared(self):
+        return reconcile.compare_actuals(self.actuals(), self.forecasts())
 
-def actuals(spark, sf):
-    return uploads(spark, sf).withColumn("month", year_month("Date"))
+    def baseline_mae(self):
+        """Training MAE of the naive forecast (full precision): a one-row frame."""
+        d = self.history
+        train_years, _ = split.split_years(d)
+        s = add_series_features(d, ["Store", "Product"]).where(F.year("Date").isin(train_years))
+        return s.agg(F.avg(F.abs(F.col("Demand") - F.coalesce("Rolling_Mean_4", F.lit(0.0)))).alias("baseline_mae"))
 
-
-def compared(spark, sf):
-    return reconcile.compare_actuals(actuals(spark, sf), forecasts(spark, sf))
-
-
-def baseline_mae(spark, sf):
-    """Training MAE of the naive forecast (full precision): a one-row frame."""
-    d = base.demand_once(spark, sf)
-    train_years, _ = split.split_years(d)
-    s = add_series_features(d, ["Store", "Product"]).where(F.year("Date").isin(train_years))
-    return s.agg(F.avg(F.abs(F.col("Demand") - F.coalesce("Rolling_Mean_4", F.lit(0.0)))).alias("baseline_mae"))
-
-
-def monthly_comparison_drift(spark, sf):
-    metrics = reconcile.comparison_metrics(compared(spark, sf))
-    return reconcile.comparison_drift(metrics, row_literals(baseline_mae(spark, sf))["baseline_mae"])
+    def monthly_comparison_drift(self):
+        metrics = reconcile.comparison_metrics(self.compared())
+        return reconcile.comparison_drift(metrics, row_literals(self.baseline_mae())["baseline_mae"])
 
 
 # ── SQL side ───────────────────────────────────────────────────────────────
@@ -108,32 +111,33 @@ SELECT Store, Product, Date, Demand, Price, Promo, source_seq FROM (
   SELECT *, row_number() OVER (PARTITION BY Store, Product, Date ORDER BY source_seq DESC) AS rn FROM u) t
 WHERE rn = 1""", ids="A22 U1 U4 S9")
 def q_dedupe_last(spark, sf):
-    u = reconcile.union_sources([base.demand(spark, sf), uploads(spark, sf)])
+    c = Cycle(spark, sf, materialize=False)
+    u = reconcile.union_sources([c.history, c.uploads])
     return reconcile.dedupe_last(u).select("Store", "Product", "Date", "Demand", "Price", "Promo", "source_seq")
 
 
 @query("replace_month", CYCLE + "\nSELECT Date, Store, Product, Demand, Price, Promo FROM replaced",
        ids="J11 U3 K5")
 def q_replace_month(spark, sf):
-    return replaced(spark, sf).select("Date", "Store", "Product", "Demand", "Price", "Promo")
+    return Cycle(spark, sf, materialize=False).replaced().select("Date", "Store", "Product", "Demand", "Price", "Promo")
 
 
 @query("month_ahead_forecast", CYCLE + "\nSELECT Store, Product, Date, month, Predicted_Demand FROM fc",
        ids="M8 M10 J7 F8 U2")
 def q_month_ahead(spark, sf):
-    return forecasts(spark, sf)
+    return Cycle(spark, sf, materialize=False).forecasts()
 
 
 @query("compare_actuals", CYCLE + _CMP + "\nSELECT * FROM metrics", ids="J3 A23")
 def q_compare_actuals(spark, sf):
-    return reconcile.comparison_metrics(compared(spark, sf))
+    return reconcile.comparison_metrics(Cycle(spark, sf).compared())
 
 
 @query("compare_details", CYCLE + _CMP + f"""
 SELECT month, Store, Product, {R('Actual', 4)} AS Actual, {R('Predicted', 4)} AS Predicted,
        {R('Error', 4)} AS Error, Error_Pct FROM cmp""", ids="J3 K11")
 def q_compare_details(spark, sf):
-    c = compared(spark, sf)
+    c = Cycle(spark, sf).compared()
     return c.withColumns({k: F.round(k, 4) for k in ("Actual", "Predicted", "Error")})
 
 
@@ -145,7 +149,8 @@ SELECT a.month, {R('Actual', 4)} AS Actual, {R('Predicted', 4)} AS Predicted,
        {R('abs(Actual - Predicted) / (abs(Actual) + 1e-9) * 100', 2)} AS Error_Pct
 FROM a JOIN p ON a.month = p.month""", ids="J4")
 def q_compare_global(spark, sf):
-    c = reconcile.compare_global(actuals(spark, sf), forecasts(spark, sf))
+    cy = Cycle(spark, sf)
+    c = reconcile.compare_global(cy.actuals(), cy.forecasts())
     return c.withColumns({k: F.round(k, 4) for k in ("Actual", "Predicted", "Error")})
 
 
@@ -164,7 +169,7 @@ CYCLE_SPLIT = with_ctes(*BASE_SPLIT, _UP_SQL, _fc_sql())
 
 @query("comparison_drift", CYCLE_SPLIT + _CMP + _BASE_MAE + "\nSELECT * FROM cdrift", ids="D9")
 def q_comparison_drift(spark, sf):
-    return monthly_comparison_drift(spark, sf)
+    return Cycle(spark, sf).monthly_comparison_drift()
 
 
 @query("comparison_drift_overall", CYCLE_SPLIT + _CMP + _BASE_MAE + f""",
@@ -177,7 +182,7 @@ SELECT *, CASE WHEN avg_error_increase_pct < 10 THEN 'none' WHEN avg_error_incre
             ELSE 'Severe drift detected. Model retraining recommended.' END AS recommendation
 FROM o""", ids="D10 W6 F17")
 def q_comparison_drift_overall(spark, sf):
-    return reconcile.overall_drift(monthly_comparison_drift(spark, sf), 3)
+    return reconcile.overall_drift(Cycle(spark, sf).monthly_comparison_drift(), 3)
 
 
 @query("cycle_status", CYCLE + f"""
@@ -187,7 +192,7 @@ SELECT min(Date) AS first_date, max(Date) AS last_date, count(*) AS total_rows,
        'Predict ' || strftime(CAST({ym('max(Date)')} || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS next_action
 FROM replaced""", ids="A29 F7")
 def q_cycle_status(spark, sf):
-    return reconcile.cycle_status(replaced(spark, sf))
+    return reconcile.cycle_status(Cycle(spark, sf, materialize=False).replaced())
 
 
 # ── next month: scaffold, forecast, summaries ─────────────────────────────
@@ -195,8 +200,8 @@ def _next_month(hist):
     return hist.agg(shift_month(year_month(F.max("Date")), 1).alias("target"))
 
 
-def scaffold(spark, sf):
-    hist = replaced(spark, sf)
+def scaffold(spark, sf, hist=None):
+    hist = hist if hist is not None else Cycle(spark, sf).replaced()
     target = row_literals(_next_month(hist))["target"]
     from tidewell.functions.calendar import month_fridays
     rows = hist.select("Store", "Product").distinct().select(
@@ -224,8 +229,8 @@ def q_future_scaffold(spark, sf):
 
 
 def next_month_forecast(spark, sf):
-    hist = replaced(spark, sf)
-    sc = scaffold(spark, sf)
+    hist = Cycle(spark, sf).replaced()
+    sc = scaffold(spark, sf, hist)
     target = sc.agg(year_month(F.min("Date")).alias("t")).first()["t"]
     fc = forecast.month_ahead_naive(hist.unionByName(sc), target)
     p = F.col("Predicted_Demand")
