@@ -102,3 +102,18 @@ def test_reconcile_job(spark, tmpdir_path):
     h = spark.read.parquet(f"{tmpdir_path}/history")
     assert sorted(r.Demand for r in h.where("month = '2019-01'").collect()) == [15.0, 99.0]
     assert out["next_forecast"].count() > 0
+
+
+def test_wide_heatmap_error_columns_and_json_log(spark, tmpdir_path):
+    pm = spark.createDataFrame([("1", "2019-01", 10.4), ("1", "2019-02", 20.6), ("2", "2019-01", 5.0)],
+                               "Product string, month string, demand double")
+    wide = {r.Product: (r["2019-01"], r["2019-02"]) for r in reports.heatmap_wide(pm, ["2019-01", "2019-02"]).collect()}
+    assert wide == {"1": (10.0, 21.0), "2": (5.0, None)}
+    p = spark.createDataFrame([(10.0, 7.5)], "Demand double, Predicted double")
+    r = reports.with_error_columns(p).first()
+    assert r.Abs_Error == 2.5 and r.Error_Pct == 25.0
+    path = f"{tmpdir_path}/log.json"
+    with open(path, "w") as f:
+        f.write('[{"month": "2019-01", "count": 3, "mean_pred": 1.5}, {"month": "2019-02", "count": 4, "mean_pred": 2.0}]')
+    log = ingest.read_json_log(spark, path)
+    assert sorted(r.month for r in log.collect()) == ["2019-01", "2019-02"]
