@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import exact_dedup, mixing, token_count
+from tidewell.llm import exact_dedup, language_id, mixing, token_count, toxicity
 from tidewell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = remainder(4) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), train_rule=~held)
+    out = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"),
+                      toxicity.toxicity_score(F.col("text"), model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = remainder(3) == 1
+    model = language_id.train(docs, train_rule=~held)
+    out = language_id.identify(docs, model)
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op10_source_mix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
