@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import exact_dedup, language_id, mixing, token_count, toxicity
+from tidewell.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, token_count, toxicity
 from tidewell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path("word_bpe_49k.json"))
 
 
+_W10 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op4_decontaminate", rf"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_W10} AS w FROM benchmark),
+q AS (SELECT item, list_slice(w, i, i + least(len(w), 10) - 1) AS win
+      FROM b, unnest(generate_series(1, greatest(1, len(w) - 9))) AS u(i) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, array_to_string(win, ' ') AS win, len(win) AS k FROM q),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_W10} AS w FROM documents),
+p AS (SELECT r, i, n.k, array_to_string(list_slice(w, i, i + n.k - 1), ' ') AS win
+      FROM d, (SELECT DISTINCT k FROM win) n, unnest(generate_series(1, len(w) - n.k + 1)) AS u(i)),
+m AS (SELECT r, i, p.k, item FROM p JOIN win ON p.win = win.win),
+h AS (SELECT r, count(DISTINCT j) AS n_hit FROM m, unnest(generate_series(i, i + k - 1)) AS u(j) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT r, item FROM m WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
 @query("op6_exact_dedup", r"""
 WITH d AS (SELECT doc_id, sha256(encode(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'))) AS text_sha256
            FROM documents)
@@ -56,6 +80,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+@query("op8_chat_format", r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
+             '<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' AS piece FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, list(md5(piece) ORDER BY pos) AS h FROM p GROUP BY conv_id),
+f AS (SELECT conv_id, n_turns, h, array_to_string(h, ',') AS k FROM c),
+u AS (SELECT min(conv_id) AS conv_id, k, n_turns, count(*) AS n_copies FROM f GROUP BY k, n_turns),
+x AS (SELECT DISTINCT array_to_string(list_slice(h, 1, i), ',') AS k FROM c, unnest(generate_series(1, n_turns - 1)) AS g(i)),
+m AS (SELECT conv_id, n_turns, n_copies FROM u WHERE k NOT IN (SELECT k FROM x))
+SELECT m.conv_id, (pos - 1) // 512 AS part, m.n_turns, m.n_copies, string_agg(piece, chr(10) ORDER BY pos) AS text
+FROM m JOIN p USING (conv_id) GROUP BY m.conv_id, (pos - 1) // 512, m.n_turns, m.n_copies
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(table(spark, sf_dir, "conversations"))
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
