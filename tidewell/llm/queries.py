@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, token_count, toxicity
+from tidewell.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    lm_score,
+    mixing,
+    substring_dedup,
+    token_count,
+    toxicity,
+)
 from tidewell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,12 +34,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"),
                                     public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _W10 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
@@ -54,6 +74,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).drop("doc_key")
 
 
+@query("op5_lm_score")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), remainder(10) != 0)
+
+
 @query("op6_exact_dedup", r"""
 WITH d AS (SELECT doc_id, sha256(encode(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'))) AS text_sha256
            FROM documents)
@@ -65,11 +90,6 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def remainder(n: int):
-    """crc32 of doc_id as text, modulo ``n``."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
-
-
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
