@@ -15,6 +15,7 @@ from tidewell.llm import (
     language_id,
     lm_score,
     mixing,
+    near_dedup,
     substring_dedup,
     token_count,
     toxicity,
@@ -39,6 +40,11 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+@query("op1_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, share=85)
+
+
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"),
