@@ -13,9 +13,11 @@ Links are wanted as components, so a bucket is not paired up: first every class
 most central member of its buckets (the one sharing most keys), and the closest of these
 pairs is confirmed on full sets. What then still spans several components of a bucket is
 compared signature by signature inside the bucket (large buckets in pairs of blocks, spread
-over tasks), and every pair of different components within the signature distance is
-confirmed on full sets too. Confirming ships a class's set once per cell of up to ``CELL``
-classes, not once per pair. Pairs inside one component need no check, so no link between
+over tasks). Classes with a partner of another component within the signature distance go
+to a cell, their component or that of their closest centre, and all pairs of different
+components are tried there on full sets over an index of the cell's shingles; so a group's
+members travel once, not in pairs. Only close classes of different cells become pairs, and
+are confirmed on full sets too. Pairs inside one component need no check, so no link between
 different texts is lost.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and are kept;
@@ -123,17 +125,20 @@ def signature_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((_signatures(a) != _signatures(b)).sum(axis=1).astype(np.int32))
 
 
-def _close_pairs(a, b, node_a, node_b, comp_a, comp_b, which, inside):
-    """Pairs of two blocks of a bucket: different components, within MAX_ERRORS, and this
-    bucket is the first the two share."""
-    out_x, out_y = [], []
+def _close_pairs(a, b, node_a, node_b, comp_a, comp_b, cell_a, cell_b, which, inside):
+    """Two blocks of a bucket: members with a partner of another component within MAX_ERRORS
+    in their own cell; and pairs across cells, where this bucket is the first they share."""
+    out_x, out_y, members = [], [], []
     step = max(1, (8 << 20) // max(1, len(b) * SYMBOLS))
     for i in range(0, len(a), step):
         same = a[i:i + step, None, :] == b[None, :, :]
         ok = (SYMBOLS - same.sum(axis=2) <= MAX_ERRORS) & (comp_a[i:i + step, None] != comp_b[None, :])
         if inside:
             ok &= node_a[i:i + step, None] < node_b[None, :]
-        x, y = np.nonzero(ok)
+        near = ok & (cell_a[i:i + step, None] == cell_b[None, :])
+        if near.any():
+            members += [i + np.flatnonzero(near.any(axis=1)), -1 - np.flatnonzero(near.any(axis=0))]
+        x, y = np.nonzero(ok & ~near)
         if not len(x):
             continue
         chunk = same[x, y].reshape(-1, CHUNKS, CHUNK)
@@ -144,9 +149,8 @@ def _close_pairs(a, b, node_a, node_b, comp_a, comp_b, which, inside):
         first = c * CHUNK + o == which
         out_x.append(node_a[i + x[first]])
         out_y.append(node_b[y[first]])
-    if not out_x:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_x), np.concatenate(out_y)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate([none, *out_x]), np.concatenate([none, *out_y]), np.concatenate([none, *members]))
 
 
 def _bucket_pairs(batches):
@@ -169,18 +173,74 @@ def _bucket_pairs(batches):
             yield held, np.array([0, held.num_rows])
     for t, cut in groups():
         sig = _signatures(t["sig"].combine_chunks())
-        node, comp, blk = (t[c].to_numpy() for c in ("node", "comp", "blk"))
+        node, comp, cell, blk = (t[c].to_numpy() for c in ("node", "comp", "cell", "blk"))
         lo, hi, which = (t[c].to_numpy() for c in ("lo", "hi", "which"))
-        xs, ys = [], []
+        xs, ys, ms = [], [], []
         for s, e in zip(cut[:-1], cut[1:]):
             if e - s < 2:
                 continue
             a = np.arange(s, e)[blk[s:e] == lo[s]]
             b = a if lo[s] == hi[s] else np.arange(s, e)[blk[s:e] == hi[s]]
-            x, y = _close_pairs(sig[a], sig[b], node[a], node[b], comp[a], comp[b], which[s], lo[s] == hi[s])
+            x, y, m = _close_pairs(sig[a], sig[b], node[a], node[b], comp[a], comp[b], cell[a], cell[b], which[s],
+                                   lo[s] == hi[s])
             xs.append(x), ys.append(y)
-        if xs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
+            ms += [a[m[m >= 0]], b[-1 - m[m < 0]]]
+        if ms:
+            m = np.concatenate(ms)
+            m = m[np.unique(node[m], return_index=True)[1]]          # a node has one cell
+            n, k = sum(map(len, xs)), len(m)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None] * n + cell[m].tolist(), pa.int64()), pa.array(np.concatenate([*xs, node[m]])),
+                 pa.array(np.concatenate(ys).tolist() + [None] * k, pa.int64())], ["cell", "x", "y"])
+
+
+def _cell_links(share: int):
+    """Links that join components among the members of a cell, or of two blocks of it.
+    Intersections are counted over the cell's shingle index; members of the largest
+    component need not be tried, every other component's members are tried with all."""
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        node, comp, blk = (t[c].to_numpy() for c in ("node", "comp", "blk"))
+        sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        of = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(flat, kind="stable")
+        shingle, holder = flat[order], of[order]
+        begin, end = np.searchsorted(shingle, flat, "left"), np.searchsorted(shingle, flat, "right")
+        first = np.concatenate([[0], np.cumsum(size)])
+        root = {c: c for c in set(comp.tolist())}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+        kinds, count = np.unique(comp, return_counts=True)
+        largest = kinds[count.argmax()] if len(kinds) else None
+        u, v = [], []
+        for i in np.flatnonzero(comp != largest):
+            a, b = begin[first[i]:first[i + 1]], end[first[i]:first[i + 1]]
+            n = b - a
+            at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(holder[at], minlength=len(sets))
+            hit = np.flatnonzero(100 * common >= share * (size[i] + size - common))
+            for j in hit:
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y:
+                    root[x] = y
+                    u.append(int(node[i])), v.append(int(node[j]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+    return run
+
+
+def in_blocks(df: DataFrame, key: str) -> DataFrame:
+    """Rows (key, node, n rows of the key): every pair of a key's blocks of about CELL rows,
+    with each row once per block pair it belongs to (columns lo, hi, blk)."""
+    blocks = F.ceil(F.col("n") / CELL).cast("int")
+    df = df.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return df.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other", "n")
 
 
 def _linked(share: int):
@@ -290,18 +350,25 @@ def resolve(docs: DataFrame, id_col: str, text_col: str, size: int, share: int)
     m = member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_keys = m.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
     m = m.drop("n").join(open_keys.select("key", "n"), "key")
-    blocks = F.ceil(F.col("n") / CELL).cast("int")
-    m = m.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    m = (m.join(sigs, "node").select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"),
-                                     "blk", "which", "node", "comp", "sig"))
+    # a lone class belongs to the cell of the component its closest centre is in
+    hub = star.select(F.col("x").alias("node"), F.col("y").alias("hub")).join(
+        comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left").select(
+        "node", F.coalesce("hub_comp", "hub").alias("hub_comp"))
+    m = m.join(hub, "node", "left").join(comp.select("node", F.lit(True).alias("joined")), "node", "left")
+    m = m.withColumn("cell", F.when(F.col("joined"), F.col("comp")).otherwise(F.coalesce("hub_comp", "comp")))
+    m = in_blocks(m, "key").join(sigs, "node").select("key", "lo", "hi", "blk", "which", "node", "comp", "cell", "sig")
     m = m.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    rest = m.mapInArrow(_bucket_pairs, "x long, y long")
-    rest = staged(rest.distinct())
-    more = (rest.join(comp.select(F.col("node").alias("x"), F.col("comp").alias("cx")), "x", "left")
-            .join(comp.select(F.col("node").alias("y"), F.col("comp").alias("cy")), "y", "left"))
-    more = more.select(F.least(F.coalesce("cx", "x"), F.coalesce("cy", "y")).alias("cell"), "x", "y")
-    links2 = confirm(more, sets_of(rest), share)
+    rest = staged(m.mapInArrow(_bucket_pairs, "cell long, x long, y long").distinct())
+    pairs = rest.filter("y is not null").select(F.least("x", "y").alias("cell"), "x", "y")
+    members = rest.filter("y is null").select("cell", F.col("x").alias("node"))
+    nodes = (pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
+             .unionByName(members.select("node")).distinct())
+    sets = staged(_set_table(docs, staged(nodes.join(ids, "node")), id_col, text_col, size))
+    full = members.groupBy("cell").agg(F.count("*").alias("n"))
+    cells = (in_blocks(members.join(full, "cell"), "cell").join(comp, "node", "left")
+             .withColumn("comp", F.coalesce("comp", "node")).join(sets, "node"))
+    inside = cells.groupBy("cell", "lo", "hi").applyInArrow(_cell_links(share), "u long, v long")
+    links2 = confirm(pairs, sets, share).unionByName(inside)
     final = connected_components(links.unionByName(links2))
     labelled = staged(classes.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     least = labelled.groupBy("comp").agg(F.min("id").alias("comp_id"))
