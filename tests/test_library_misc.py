@@ -117,3 +117,52 @@ def test_wide_heatmap_error_columns_and_json_log(spark, tmpdir_path):
         f.write('[{"month": "2019-01", "count": 3, "mean_pred": 1.5}, {"month": "2019-02", "count": 4, "mean_pred": 2.0}]')
     log = ingest.read_json_log(spark, path)
     assert sorted(r.month for r in log.collect()) == ["2019-01", "2019-02"]
+
+
+def test_latest_run_keeps_every_file_of_a_month(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    from tidewell.sources import ingest, sinks
+    base = spark.range(2000).select(F.lit("2020-01").alias("month"), F.col("id").alias("Store"),
+                                    (F.col("id") % 7).alias("Product"), F.lit("2020-01-03").alias("Date"))
+    for run in ("20200101", "20200102"):
+        sinks.write_predictions(base.withColumn("Predicted", F.lit(run)), f"{tmpdir_path}/p", run)
+    got = ingest.latest_per_month(spark, f"{tmpdir_path}/p")
+    assert got.count() == 2000
+    assert [r[0] for r in got.select("Predicted").distinct().collect()] == ["20200102"]
+
+
+def test_halves_keep_null_stores_and_work_without_store(spark):
+    from tidewell.operators import split
+    rows = [("2020-01", None, "a", 1), ("2020-01", None, "a", 2), ("2020-01", "s", "a", 1), ("2020-01", "s", None, 1)]
+    df = spark.createDataFrame(rows, "month string, Store string, Product string, Date int")
+    got = {(r["Store"], r["Product"], r["Date"]): (r["position"], r["half"]) for r in split.validation_halves(df).collect()}
+    assert got == {(None, "a", 1): (1, "first"), (None, "a", 2): (2, "first"),
+                   ("s", None, 1): (3, "second"), ("s", "a", 1): (4, "second")}
+    assert split.validation_halves(df.drop("Store").dropDuplicates(["Product", "Date"])).count() == 3
+
+
+def test_dedupe_keeps_the_last_row_of_a_file(spark):
+    from tidewell.operators.reconcile import dedupe_last, union_sources
+    a = spark.createDataFrame([("p", 1), ("p", 2), ("q", 5)], "Product string, Demand int").coalesce(1)
+    u = union_sources([a])
+    got = {r["Product"]: r["Demand"] for r in dedupe_last(u, ["Product"], order=("source_seq", "row_seq")).collect()}
+    assert got == {"p": 2, "q": 5}
+
+
+def test_checkpoint_folder_must_be_set_off_local():
+    import pytest
+
+    from tidewell.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())

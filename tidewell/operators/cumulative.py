@@ -25,13 +25,10 @@ from pyspark.sql import functions as F
 from tidewell.session import cut_lineage
 
 
-MAX_BUCKETS = 256
-
-
 def buckets_for(rows: int, groups: int = 1, target_rows: int = 2_000_000) -> int:
     """Buckets per group so that a (group, bucket) window holds about ``target_rows``."""
     per_group = max(1, rows // max(1, groups))
-    return int(min(MAX_BUCKETS, max(1, -(-per_group // target_rows))))
+    return int(max(1, -(-per_group // target_rows)))
 
 
 def _bucketed(df: DataFrame, group_cols: list[str], key_col: str, buckets: int) -> DataFrame:

@@ -66,8 +66,8 @@ def future_scaffold(history: DataFrame, target_month: str | F.Column) -> DataFra
     extra = [c for c in history.columns if c not in ("Date", "Demand", "Store", "Product")]
     if extra:
         from tidewell.functions.scalars import row_literals
-        rows = rows.withColumns(row_literals(history.agg(*[F.max_by(F.col(c), F.col("Date")).alias(c)
-                                                           for c in extra])))
+        rows = rows.withColumns(row_literals(history.agg(
+            F.max_by(F.struct(*extra), F.struct("Date", "Store", "Product", "Demand")).alias("_row")).select("_row.*")))
         rows = rows.fillna(0, subset=extra)
     return rows
 

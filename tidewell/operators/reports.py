@@ -243,7 +243,7 @@ def heatmap_wide(product_month: DataFrame, months: list[str]) -> DataFrame:
 
 def normalised_scores(product_fc: DataFrame, k: int = 10) -> DataFrame:
     """First k products (by id), demand score 100·avg/max(avg), rounded accuracy."""
-    first_k = product_fc.withColumn("_rn", F.row_number().over(Window.orderBy("Product"))).where(F.col("_rn") <= k)
+    first_k = product_fc.orderBy("Product").limit(k)       # top-k per partition, then merged
     mx = F.greatest(F.max("avg_demand").over(Window.partitionBy()), F.lit(1.0))
     return first_k.select("Product", "name",
                           F.round(F.col("avg_demand") / mx * 100, 1).alias("Demand"),

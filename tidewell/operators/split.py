@@ -72,24 +72,37 @@ def month_rows_at_least(df: DataFrame, n: int = 2) -> DataFrame:
 def validation_halves(df: DataFrame, month_col: str = "month") -> DataFrame:
     """Positional first/second half inside each month, order Store, Product, Date.
 
-    Position is computed without putting a month into one task: a per-series
-    count per month gives each series its offset (a prefix sum over a table
-    with one row per series and month); inside a series-month the rank is over
-    at most five weekly rows.
+    Position is computed without putting a month into one task: per-series counts
+    give each series its offset in two levels, products inside a (month, store) and
+    stores inside a month; inside a series-month the rank is over at most five
+    weekly rows. Null keys keep their rows (null-safe joins); ``Store`` is optional.
     """
-    keys = [month_col, "Store", "Product"]
+    outer = [month_col] + [k for k in ("Store",) if k in df.columns]
+    keys = outer + ["Product"]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    wm = Window.partitionBy(month_col).orderBy("Store", "Product")
-    offsets = counts.select(
-        *keys,
-        F.coalesce(F.sum("_n").over(wm.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(month_col)).alias("_month_rows"))
+    inner = Window.partitionBy(*outer).orderBy("Product").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+    stores = counts.groupBy(*outer).agg(F.sum("_n").alias("_s"))
+    wm = Window.partitionBy(month_col)
+    stores = stores.select(
+        *[F.col(k).alias(f"_o_{k}") for k in outer],
+        F.coalesce(F.sum("_s").over(wm.orderBy(*outer[1:] or [month_col]).rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_store_before"),
+        F.sum("_s").over(wm).alias("_month_rows"))
+
+    def matches(cols, prefix):
+        cond = F.lit(True)
+        for k in cols:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+        return cond
+    offsets = counts.join(stores, matches(outer, "_o_")).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_store_before") + F.col("_inside")).alias("_before"), "_month_rows")
     ws = Window.partitionBy(*keys).orderBy("Date")
-    return (df.join(offsets, keys)
+    return (df.join(offsets, matches(keys, "_k_"))
             .withColumn("position", F.col("_before") + F.row_number().over(ws))
             .withColumn("half", F.when(F.col("position") <= F.floor(F.col("_month_rows") / 2), "first")
                         .otherwise("second"))
-            .drop("_before"))
+            .drop("_before", *[f"_k_{k}" for k in keys]))
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:

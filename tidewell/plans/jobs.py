@@ -25,7 +25,7 @@ def _ts() -> str:
 def prepare(raw: DataFrame, out_path: str, rule: str = "closed", year_ceiling: int | None = None) -> DataFrame:
     """Raw daily rows -> weekly demand table, written partitioned by month."""
     w = weekly.weekly_rollup(raw, rule=rule, year_ceiling=year_ceiling).withColumn("month", year_month("Date"))
-    w.repartition("month").sortWithinPartitions("Store", "Product", "Date") \
+    sinks.by_month_parts(w).sortWithinPartitions("Store", "Product", "Date") \
         .write.mode("overwrite").partitionBy("month").parquet(out_path)
     return w
 

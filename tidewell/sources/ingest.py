@@ -196,15 +196,20 @@ def load_history(spark: SparkSession, base_path: str, upload_paths: list[str]) -
     frames = [load_demand(spark, base_path)] + [load_demand(spark, p) for p in sorted(upload_paths)]
     u = union_sources(frames)
     keys = [k for k in ("Store", "Product") if k in u.columns] + ["Date"]
-    return dedupe_last(u, keys).drop("source_seq")
+    return dedupe_last(u, keys, order=("source_seq", "row_seq")).drop("source_seq", "row_seq")
 
 
 # ── S10-S13, S16 on Parquet tables ─────────────────────────────────────────
-def latest_per_month(spark: SparkSession, path: str, month_col: str = "month") -> DataFrame:
-    """Rows of the most recently written file per month (S10, W7), by file modification time."""
-    df = spark.read.parquet(path).select("*", F.col("_metadata.file_modification_time").alias("_mtime"))
-    latest = df.groupBy(month_col).agg(F.max("_mtime").alias("_mtime"))
-    return df.join(latest, [month_col, "_mtime"], "left_semi").drop("_mtime")
+def latest_per_month(spark: SparkSession, path: str, month_col: str = "month",
+                     run_col: str = "run_ts") -> DataFrame:
+    """Rows of the latest run per month (S10, W7): every file of the run with the greatest
+    ``run_ts``. A table without that column holds one version of each month (months are
+    replaced as a whole) and is returned as it is."""
+    df = spark.read.parquet(path)
+    if run_col not in df.columns:
+        return df
+    latest = df.groupBy(F.col(month_col).alias("_m")).agg(F.max(run_col).alias("_run"))
+    return df.join(latest, F.col(month_col).eqNullSafe(F.col("_m")) & F.col(run_col).eqNullSafe(F.col("_run")), "left_semi")
 
 
 def months_available(spark: SparkSession, path: str, month_col: str = "month") -> DataFrame:

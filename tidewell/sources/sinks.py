@@ -14,12 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+FILES_PER_MONTH = 16
+
+
+def by_month_parts(df: DataFrame, month_col: str = "month", files: int = FILES_PER_MONTH) -> DataFrame:
+    """Deal rows by month and series, so a month is written by up to ``files`` tasks and a
+    series stays in one file."""
+    series = [k for k in ("Store", "Product") if k in df.columns]
+    return df.repartition(month_col, F.pmod(F.xxhash64(*series), F.lit(files)))
+
+
 def write_predictions(pred: DataFrame, path: str, run_ts: str) -> None:
     """Per-month prediction rows of one run (K1, K1b): partitioned by month and run,
     rows in the canonical Store, Product, Date order inside each file (O1)."""
-    (pred.withColumn("run_ts", F.lit(run_ts))
-     .repartition("month")
-     .sortWithinPartitions("Store", "Product", "Date")
+    series = [k for k in ("Store", "Product") if k in pred.columns]
+    (by_month_parts(pred.withColumn("run_ts", F.lit(run_ts)))
+     .sortWithinPartitions(*series, "Date")
      .write.mode("append").partitionBy("month", "run_ts").parquet(path))
 
 
@@ -50,7 +60,7 @@ def replace_month_partitions(df: DataFrame, path: str, staging_root: str, month_
 def save_state_tables(tables: dict[str, DataFrame], root: str) -> None:
     """Fitted statistics and dictionaries (K7) as small Parquet tables."""
     for name, t in tables.items():
-        t.coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+        t.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
 
 
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
