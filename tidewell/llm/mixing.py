@@ -12,7 +12,8 @@ by weight among the rest until none is above.
 
 Rates become whole copies: every document gets floor(r) copies; the fractional copies of a
 source are given class by class, longest documents first, carrying the rounding remainder
-on, so the total misses the target by less than about half the shortest document. Inside a
+on. The total misses the target by at most half the longest document, and by about half the
+shortest where a source has enough documents to take the remainder up. Inside a
 class (equal source and size) the documents with the smallest row hash get the extra copy.
 
 Defined cases: null text has size 0; size 0 takes 0; a source whose words are all 0 has
