@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidewell.llm import arrow_words as A
 from tidewell.llm import blocks as B
 
-DEPTH = 6                 # context bytes; a gram is DEPTH + 1 bytes of a 64-bit key
+DEPTH = 5                 # context bytes; a gram is DEPTH + 1 bytes of a 64-bit key
 SPACE, END = 32, 10
 _END_WORD = A.constants(1, 401)      # stands for the end token among word hashes
 _HALF = math.log(0.5)
@@ -183,7 +183,6 @@ def grams(texts: pa.Array):
     w = A.find_words(texts, lower=True)
     n = len(w.start)
     size = w.end - w.start + 1
-    rows = np.arange(w.rows)
     per = np.bincount(w.row, size, w.rows).astype(np.int64) + 1             # with the end byte
     begin = np.concatenate([[0], np.cumsum(per)])
     out = np.full(begin[-1], SPACE, dtype=np.uint8)
@@ -193,8 +192,7 @@ def grams(texts: pa.Array):
     out[dst] = w.buf[dst + src] if n else out[dst]
     out[begin[1:] - 1] = END
     key = out.astype(np.uint64)
-    text = np.repeat(rows, per)
-    back = np.arange(len(out)) - begin[text]
+    back = (np.arange(len(out)) - np.repeat(begin[:-1], per)).astype(np.int32)
     for d in range(1, DEPTH + 1):
         older = np.zeros(len(out), dtype=np.uint64)
         older[d:] = out[:-d] if d <= len(out) else 0
