@@ -15,10 +15,10 @@ pairs is confirmed on full sets. What then still spans several components of a b
 compared signature by signature inside the bucket (large buckets in pairs of blocks, spread
 over tasks). Classes with a partner of another component within the signature distance go
 to a cell, their component or that of their closest centre, and all pairs of different
-components are tried there on full sets over an index of the cell's shingles; so a group's
-members travel once, not in pairs. Only close classes of different cells become pairs, and
-are confirmed on full sets too. Pairs inside one component need no check, so no link between
-different texts is lost.
+components are tried there on full sets over an index of the cell's shingles. A class with
+such a partner in a larger cell visits that cell; so members travel once to each cell they
+have a partner in, not in pairs. Pairs inside one component need no check, so no link
+between different texts is lost.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and are kept;
 texts with fewer words than a shingle have their whole word sequence as one shingle; null
@@ -125,36 +125,39 @@ def signature_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((_signatures(a) != _signatures(b)).sum(axis=1).astype(np.int32))
 
 
-def _close_pairs(a, b, node_a, node_b, comp_a, comp_b, cell_a, cell_b, which, inside):
-    """Two blocks of a bucket: members with a partner of another component within MAX_ERRORS
-    in their own cell; and pairs across cells, where this bucket is the first they share."""
-    out_x, out_y, members = [], [], []
+def _visits(a, b, node_a, node_b, comp_a, comp_b, cell_a, cell_b, load_a, load_b, which, inside):
+    """Two blocks of a bucket: (cell, position) of the members to be tried together. Pairs of
+    different components within MAX_ERRORS count, in the first bucket they share: both
+    members go to the cell of the one whose cell is larger. Positions in ``b`` are given as
+    -1 - position."""
+    cells, at = [], []
     step = max(1, (8 << 20) // max(1, len(b) * SYMBOLS))
     for i in range(0, len(a), step):
         same = a[i:i + step, None, :] == b[None, :, :]
         ok = (SYMBOLS - same.sum(axis=2) <= MAX_ERRORS) & (comp_a[i:i + step, None] != comp_b[None, :])
         if inside:
             ok &= node_a[i:i + step, None] < node_b[None, :]
-        near = ok & (cell_a[i:i + step, None] == cell_b[None, :])
-        if near.any():
-            members += [i + np.flatnonzero(near.any(axis=1)), -1 - np.flatnonzero(near.any(axis=0))]
-        x, y = np.nonzero(ok & ~near)
+        x, y = np.nonzero(ok)
         if not len(x):
             continue
         chunk = same[x, y].reshape(-1, CHUNKS, CHUNK)
         good = chunk.sum(axis=2)
         c = (good >= CHUNK - 1).argmax(axis=1)
-        at = np.arange(len(x))
-        o = np.where(good[at, c] == CHUNK, 0, chunk[at, c].argmin(axis=1))
+        n = np.arange(len(x))
+        o = np.where(good[n, c] == CHUNK, 0, chunk[n, c].argmin(axis=1))
         first = c * CHUNK + o == which
-        out_x.append(node_a[i + x[first]])
-        out_y.append(node_b[y[first]])
+        x, y = i + x[first], y[first]
+        to_a = (load_a[x] > load_b[y]) | ((load_a[x] == load_b[y]) & (cell_a[x] < cell_b[y]))
+        cell = np.where(to_a, cell_a[x], cell_b[y])
+        both = np.unique(np.stack([np.tile(cell, 2), np.concatenate([x, -1 - y])]), axis=1)
+        cells.append(both[0])
+        at.append(both[1])
     none = np.zeros(0, np.int64)
-    return (np.concatenate([none, *out_x]), np.concatenate([none, *out_y]), np.concatenate([none, *members]))
+    return np.concatenate([none, *cells]), np.concatenate([none, *at])
 
 
-def _bucket_pairs(batches):
-    """Rows sorted by (key, lo, hi): pairs of every group, groups kept whole over batches."""
+def _bucket_visits(batches):
+    """Rows sorted by (key, lo, hi): (cell, node) rows of every group, groups kept whole over batches."""
     def groups():
         held = None
         for batch in batches:
@@ -173,25 +176,21 @@ def _bucket_pairs(batches):
             yield held, np.array([0, held.num_rows])
     for t, cut in groups():
         sig = _signatures(t["sig"].combine_chunks())
-        node, comp, cell, blk = (t[c].to_numpy() for c in ("node", "comp", "cell", "blk"))
+        node, comp, cell, load, blk = (t[c].to_numpy() for c in ("node", "comp", "cell", "load", "blk"))
         lo, hi, which = (t[c].to_numpy() for c in ("lo", "hi", "which"))
-        xs, ys, ms = [], [], []
+        cells, nodes = [], []
         for s, e in zip(cut[:-1], cut[1:]):
             if e - s < 2:
                 continue
             a = np.arange(s, e)[blk[s:e] == lo[s]]
             b = a if lo[s] == hi[s] else np.arange(s, e)[blk[s:e] == hi[s]]
-            x, y, m = _close_pairs(sig[a], sig[b], node[a], node[b], comp[a], comp[b], cell[a], cell[b], which[s],
-                                   lo[s] == hi[s])
-            xs.append(x), ys.append(y)
-            ms += [a[m[m >= 0]], b[-1 - m[m < 0]]]
-        if ms:
-            m = np.concatenate(ms)
-            m = m[np.unique(node[m], return_index=True)[1]]          # a node has one cell
-            n, k = sum(map(len, xs)), len(m)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None] * n + cell[m].tolist(), pa.int64()), pa.array(np.concatenate([*xs, node[m]])),
-                 pa.array(np.concatenate(ys).tolist() + [None] * k, pa.int64())], ["cell", "x", "y"])
+            c, at = _visits(sig[a], sig[b], node[a], node[b], comp[a], comp[b], cell[a], cell[b], load[a], load[b],
+                            which[s], lo[s] == hi[s])
+            cells.append(c)
+            nodes += [np.where(at >= 0, node[a[np.maximum(at, 0)]], node[b[np.maximum(-1 - at, 0)]])] if len(at) else [at]
+        if cells:
+            both = np.unique(np.stack([np.concatenate(cells), np.concatenate(nodes)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["cell", "node"])
 
 
 def _cell_links(share: int):
@@ -234,10 +233,10 @@ def _cell_links(share: int):
     return run
 
 
-def in_blocks(df: DataFrame, key: str) -> DataFrame:
-    """Rows (key, node, n rows of the key): every pair of a key's blocks of about CELL rows,
-    with each row once per block pair it belongs to (columns lo, hi, blk)."""
-    blocks = F.ceil(F.col("n") / CELL).cast("int")
+def in_blocks(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Rows (key, node, n rows of the key): every pair of a key's blocks of about ``rows``
+    rows, with each row once per block pair it belongs to (columns lo, hi, blk)."""
+    blocks = F.ceil(F.col("n") / rows).cast("int")
     df = df.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return df.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other", "n")
@@ -356,19 +355,15 @@ def resolve(docs: DataFrame, id_col: str, text_col: str, size: int, share: int)
         "node", F.coalesce("hub_comp", "hub").alias("hub_comp"))
     m = m.join(hub, "node", "left").join(comp.select("node", F.lit(True).alias("joined")), "node", "left")
     m = m.withColumn("cell", F.when(F.col("joined"), F.col("comp")).otherwise(F.coalesce("hub_comp", "comp")))
-    m = in_blocks(m, "key").join(sigs, "node").select("key", "lo", "hi", "blk", "which", "node", "comp", "cell", "sig")
+    m = m.join(m.groupBy("cell").agg(F.count("*").alias("load")), "cell")
+    m = in_blocks(m, "key", CELL).join(sigs, "node").select("key", "lo", "hi", "blk", "which", "node", "comp", "cell", "load", "sig")
     m = m.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    rest = staged(m.mapInArrow(_bucket_pairs, "cell long, x long, y long").distinct())
-    pairs = rest.filter("y is not null").select(F.least("x", "y").alias("cell"), "x", "y")
-    members = rest.filter("y is null").select("cell", F.col("x").alias("node"))
-    nodes = (pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
-             .unionByName(members.select("node")).distinct())
-    sets = staged(_set_table(docs, staged(nodes.join(ids, "node")), id_col, text_col, size))
+    members = staged(m.mapInArrow(_bucket_visits, "cell long, node long").distinct())
+    sets = staged(_set_table(docs, staged(members.select("node").distinct().join(ids, "node")), id_col, text_col, size))
     full = members.groupBy("cell").agg(F.count("*").alias("n"))
-    cells = (in_blocks(members.join(full, "cell"), "cell").join(comp, "node", "left")
+    cells = (in_blocks(members.join(full, "cell"), "cell", CELL // 2).join(comp, "node", "left")
              .withColumn("comp", F.coalesce("comp", "node")).join(sets, "node"))
-    inside = cells.groupBy("cell", "lo", "hi").applyInArrow(_cell_links(share), "u long, v long")
-    links2 = confirm(pairs, sets, share).unionByName(inside)
+    links2 = cells.groupBy("cell", "lo", "hi").applyInArrow(_cell_links(share), "u long, v long")
     final = connected_components(links.unionByName(links2))
     labelled = staged(classes.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     least = labelled.groupBy("comp").agg(F.min("id").alias("comp_id"))
