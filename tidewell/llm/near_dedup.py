@@ -233,6 +233,14 @@ def _cell_links(share: int):
     return run
 
 
+def with_group_rows(df: DataFrame, key: str, name: str, salts: int = 64) -> DataFrame:
+    """``df`` with the number of rows of its ``key``. Counts are repeated under ``salts`` salts
+    and rows carry one by their node, so a frequent key's rows join in many tasks."""
+    count = df.groupBy(key).agg(F.count("*").alias(name)).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(count, [key, "salt"]).drop("salt")
+
+
 def in_blocks(df: DataFrame, key: str, rows: int) -> DataFrame:
     """Rows (key, node, n rows of the key): every pair of a key's blocks of about ``rows``
     rows, with each row once per block pair it belongs to (columns lo, hi, blk)."""
@@ -355,13 +363,12 @@ def resolve(docs: DataFrame, id_col: str, text_col: str, size: int, share: int)
         "node", F.coalesce("hub_comp", "hub").alias("hub_comp"))
     m = m.join(hub, "node", "left").join(comp.select("node", F.lit(True).alias("joined")), "node", "left")
     m = m.withColumn("cell", F.when(F.col("joined"), F.col("comp")).otherwise(F.coalesce("hub_comp", "comp")))
-    m = m.join(m.groupBy("cell").agg(F.count("*").alias("load")), "cell")
+    m = with_group_rows(m, "cell", "load")
     m = in_blocks(m, "key", CELL).join(sigs, "node").select("key", "lo", "hi", "blk", "which", "node", "comp", "cell", "load", "sig")
     m = m.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     members = staged(m.mapInArrow(_bucket_visits, "cell long, node long").distinct())
     sets = staged(_set_table(docs, staged(members.select("node").distinct().join(ids, "node")), id_col, text_col, size))
-    full = members.groupBy("cell").agg(F.count("*").alias("n"))
-    cells = (in_blocks(members.join(full, "cell"), "cell", CELL // 2).join(comp, "node", "left")
+    cells = (in_blocks(with_group_rows(members, "cell", "n"), "cell", CELL // 2).join(comp, "node", "left")
              .withColumn("comp", F.coalesce("comp", "node")).join(sets, "node"))
     links2 = cells.groupBy("cell", "lo", "hi").applyInArrow(_cell_links(share), "u long, v long")
     final = connected_components(links.unionByName(links2))
