@@ -115,13 +115,13 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hash(w: Words, seed: int = 1) -> np.ndarray:
     """64-bit hash of every word, the same for equal words anywhere.
 
-    The buffer is hashed in blocks of 4 MB so that the power tables stay small; a word
-    that crosses a block border is hashed with its own block.
+    The buffer is hashed in blocks of 512 KB so that the power tables (kept by the worker)
+    and the running sums stay small; a longer word is a block of its own.
     """
     out = np.empty(len(w.start), dtype=np.uint64)
     base = _splitmix(seed) | 1
     table = constants(256, seed + 7)
-    block, k, total = 4 << 20, 0, len(w.start)
+    block, k, total = 512 << 10, 0, len(w.start)
     while k < total:
         s0 = int(w.start[k])
         k2 = max(k + 1, int(np.searchsorted(w.end, s0 + block, side="right")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewell.session import ensure_checkpoint_dir
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"        # white space of the word rule
-SLICE_BYTES = 4 << 20                  # bytes of text handled at once inside a task
+SLICE_BYTES = 1 << 20                  # bytes of text handled at once inside a task
 
 
 def importable(spark: SparkSession) -> None:
