@@ -279,10 +279,10 @@ def _linked(share: int):
 
 def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Links (u, v) among pairs (cell, x, y): those a spanning forest of each part needs. A
-    cell's y are dealt to parts of about CELL; an x goes to every part it has a pair in."""
+    cell's y are dealt to parts of about 4 * CELL pairs; an x goes to every part it has a pair in."""
     size = pairs.groupBy("cell").agg(F.count("*").alias("n_pairs"))
     p = pairs.join(size, "cell").withColumn(
-        "part", F.pmod(F.xxhash64("y"), F.ceil(F.col("n_pairs") / (CELL * 16)))).drop("n_pairs")
+        "part", F.pmod(F.xxhash64("y"), F.ceil(F.col("n_pairs") / (CELL * 4)))).drop("n_pairs")
     p = staged(p)
     need = (p.select("cell", "part", F.col("x").alias("node")).unionByName(p.select("cell", "part", F.col("y").alias("node")))
             .distinct().join(sets, "node").select(F.col("cell").alias("cell2"), F.col("part").alias("part2"), "node", "set"))
