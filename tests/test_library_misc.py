@@ -83,6 +83,17 @@ def test_monitor_job(spark, tmpdir_path):
     months = out["months"].collect()
     assert months and all(r.severity in ("none", "mild", "severe") for r in months)
     assert spark.read.parquet(f"{tmpdir_path}/predictions").count() > 0
+    logged = {r.month: r for r in spark.read.parquet(f"{tmpdir_path}/healing_actions").collect()}
+    assert {m.month for m in months} == set(logged)
+    assert all(r.action == "monitor" for r in logged.values() if r.severity == "none")
+    assert {r.action for r in logged.values()} <= {"monitor", "fine_tune"}
+    reports_read = spark.read.parquet(f"{tmpdir_path}/drift_history").collect()
+    assert len(reports_read) == len(months)
+    features = out["per_feature"].select("feature").distinct().count()
+    assert all(len(r.wasserstein) == features for r in reports_read)
+    # dynamic thresholds: all three importance categories carry their own limits
+    limits = {r[0]: r[1] for r in out["per_feature"].select("importance_category", "threshold_mild").distinct().collect()}
+    assert limits["high"] < limits["medium"] < limits["low"]
 
 
 def test_reconcile_job(spark, tmpdir_path):
@@ -104,6 +115,46 @@ def test_reconcile_job(spark, tmpdir_path):
     assert out["next_forecast"].count() > 0
 
 
+def test_cycle_closes_over_two_months(spark, tmpdir_path):
+    import os
+    from tidewell.functions.calendar import year_month
+    from tidewell.plans import jobs
+    fix = os.path.join(os.path.dirname(__file__), "fixtures")
+    history, forecasts = f"{tmpdir_path}/history", f"{tmpdir_path}/forecasts"
+    ingest.load_demand(spark, f"{fix}/base_history.csv").withColumn("month", year_month("Date")) \
+        .write.partitionBy("month").parquet(history)
+    spark.createDataFrame([("1", "1", d(2019, 1, 11), 50.0, "2019-01")],
+                          "Store string, Product string, Date date, Predicted_Demand double, month string") \
+        .write.partitionBy("month").parquet(forecasts)
+    for _ in range(2):                               # a repeated upload replaces its month
+        jobs.reconcile_actuals(spark, history, f"{fix}/2019-01_actual.csv", forecasts, tmpdir_path)
+    assert [r.month for r in spark.read.parquet(f"{tmpdir_path}/monthly_comparisons").collect()] == ["2019-01"]
+    feb = {r.Date: r.Predicted_Demand for r in spark.read.parquet(forecasts).where("month = '2019-02'").collect()}
+    assert feb[d(2019, 2, 1)] == 57.0                # mean(99, 15)
+    csv = f"{tmpdir_path}/2019-02_actual.csv"
+    with open(csv, "w") as f:
+        f.write("Date,Store,Product,Demand\n01-02-2019,1,1,60\n")
+    out = jobs.reconcile_actuals(spark, history, csv, forecasts, tmpdir_path, baseline_mae=10.0)
+    got = out["comparison"].first()                  # finds the forecast the cycle before wrote
+    expected = sum(feb.values()) / len(feb)
+    assert got.month == "2019-02" and abs(got.mae - abs(60 - expected)) < 0.01
+    assert {r.month for r in out["drift"].collect()} == {"2019-01", "2019-02"}
+    assert out["overall"].first().months_used == 2
+
+
+def test_monitor_and_forecast_without_store(spark, tmpdir_path):
+    from tidewell.operators import analysis, forecast
+    from tidewell.plans import jobs
+    rows = [(d(2016, 1, 1) + dt.timedelta(days=7 * i), p, float(10 + (i * 7 + len(p)) % 13)) for i in range(208) for p in ("a", "bb")]
+    df = spark.createDataFrame(rows, "Date date, Product string, Demand double")
+    out = jobs.monitor(spark, df, df.where(F.year("Date") == 2019), tmpdir_path)
+    assert out["decisions"].count() == out["months"].count() == 12
+    assert "Store" not in out["predictions"].columns
+    full = df.union(forecast.future_scaffold(df, "2020-01").select("Date", "Product", "Demand"))
+    assert forecast.month_ahead_naive(full, "2020-01").count() == 2 * 5
+    assert analysis.inspect(df).first().stores == 0 and reconcile.cycle_status(df).first().stores == 0
+
+
 def test_wide_heatmap_error_columns_and_json_log(spark, tmpdir_path):
     pm = spark.createDataFrame([("1", "2019-01", 10.4), ("1", "2019-02", 20.6), ("2", "2019-01", 5.0)],
                                "Product string, month string, demand double")

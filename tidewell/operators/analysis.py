@@ -21,7 +21,7 @@ def inspect(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.min("Date").alias("date_min"),
         F.max("Date").alias("date_max"),
-        F.count_distinct("Store").alias("stores"),
+        (F.count_distinct("Store") if "Store" in df.columns else F.lit(0).cast("long")).alias("stores"),
         F.count_distinct("Product").alias("products"),
         F.sum(null_cells).alias("missing_values"),
         F.avg("Demand").alias("demand_mean"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.calendar import month_fridays, year_month
+from tidewell.functions.keys import series_keys
 from tidewell.operators.features import add_series_features
 
 PREDICTION_COLUMNS = ["Store", "Product", "Date", "Demand", "Predicted", "CI_Lower", "CI_Upper",
@@ -22,14 +23,15 @@ def prediction_rows(df: DataFrame, pred_col: str, lower: F.Column | None = None,
                     upper: F.Column | None = None) -> DataFrame:
     """The per-month prediction table (K1): interval, absolute and percentage error.
 
-    Without an interval the reference's fallback of +-15 % applies (M4b).
+    Without an interval the reference's fallback of +-15 % applies (M4b). ``Store`` is
+    carried where the data has it.
     """
     p = F.col(pred_col)
     lower = lower if lower is not None else p * 0.85
     upper = upper if upper is not None else p * 1.15
     err = F.abs(F.col("Demand") - p)
     return df.select(
-        "Store", "Product", "Date", "Demand",
+        *series_keys(df), "Date", "Demand",
         F.round(p, 2).alias("Predicted"),
         F.round(lower, 2).alias("CI_Lower"),
         F.round(upper, 2).alias("CI_Upper"),
@@ -41,7 +43,7 @@ def prediction_rows(df: DataFrame, pred_col: str, lower: F.Column | None = None,
 
 def naive_forecast(demand: DataFrame, window: int = 4) -> DataFrame:
     """Rolling mean of the previous ``window`` rows of each series, 0 when none."""
-    feats = add_series_features(demand, ["Store", "Product"])
+    feats = add_series_features(demand, series_keys(demand))
     return feats.withColumn("_naive", F.coalesce(F.col(f"Rolling_Mean_{window}"), F.lit(0.0)))
 
 
@@ -57,17 +59,18 @@ def future_scaffold(history: DataFrame, target_month: str | F.Column) -> DataFra
     Generated per series with ``explode`` (no join): the output is
     (#series x <= 5) rows.  Other columns carry the value of the row with the
     latest date (J8), a one-row aggregate attached as literals; missing values -> 0.
-    Series are the (Store, Product) pairs present in the history.
+    Series are the (Store, Product) pairs, or products, present in the history.
     """
     tm = F.lit(target_month) if isinstance(target_month, str) else target_month
-    series = history.select("Store", "Product").distinct()
-    rows = series.select("Store", "Product", F.explode(month_fridays(tm)).alias("Date"),
+    keys = series_keys(history)
+    series = history.select(*keys).distinct()
+    rows = series.select(*keys, F.explode(month_fridays(tm)).alias("Date"),
                          F.lit(None).cast("double").alias("Demand"))
-    extra = [c for c in history.columns if c not in ("Date", "Demand", "Store", "Product")]
+    extra = [c for c in history.columns if c not in ("Date", "Demand", *keys)]
     if extra:
         from tidewell.functions.scalars import row_literals
         rows = rows.withColumns(row_literals(history.agg(
-            F.max_by(F.struct(*extra), F.struct("Date", "Store", "Product", "Demand")).alias("_row")).select("_row.*")))
+            F.max_by(F.struct(*extra), F.struct("Date", *keys, "Demand")).alias("_row")).select("_row.*")))
         rows = rows.fillna(0, subset=extra)
     return rows
 
@@ -83,15 +86,16 @@ def month_ahead_naive(weekly: DataFrame, target_months_from: str) -> DataFrame:
     read at the month's first row.
     """
     m = year_month("Date")
-    w = Window.partitionBy("Store", "Product").orderBy("Date")
-    lags = weekly.select("Store", "Product", "Date", m.alias("month"),
+    keys = series_keys(weekly)
+    w = Window.partitionBy(*keys).orderBy("Date")
+    lags = weekly.select(*keys, "Date", m.alias("month"),
                          *[F.lag("Demand", j).over(w).alias(f"_l{j}") for j in range(1, 5)],
                          F.row_number().over(w).alias("_rn"))
     # first row of every (series, month) from the cut-off on: its lags are the pre-month history
     firsts = (lags.where(F.col("month") >= target_months_from)
-              .withColumn("_first", F.min("_rn").over(Window.partitionBy("Store", "Product", "month")))
+              .withColumn("_first", F.min("_rn").over(Window.partitionBy(*keys, "month")))
               .where(F.col("_rn") == F.col("_first"))
-              .select("Store", "Product", "month", *[f"_l{j}" for j in range(1, 5)]))
+              .select(*keys, "month", *[f"_l{j}" for j in range(1, 5)]))
     fridays = firsts.select("*", F.posexplode(month_fridays(F.col("month"))).alias("_k0", "Date"))
     vals = [F.col(f"_l{j}") for j in range(1, 5)]
 
@@ -103,4 +107,4 @@ def month_ahead_naive(weekly: DataFrame, target_months_from: str) -> DataFrame:
         return F.when(cnt > 0, total / cnt).otherwise(F.lit(0.0))
 
     pred = F.coalesce(*[F.when(F.col("_k0") == k0, mean_from(k0)) for k0 in range(4)], F.lit(0.0))
-    return fridays.select("Store", "Product", "Date", "month", pred.alias("Predicted_Demand"))
+    return fridays.select(*keys, "Date", "month", pred.alias("Predicted_Demand"))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.calendar import year_month
-from tidewell.operators import drift, features as fe, forecast, reconcile, split, weekly
+from tidewell.functions.keys import series_keys
+from tidewell.operators import drift, features as fe, forecast, reconcile, reports, split, weekly
 from tidewell.sources import ingest, sinks
 from tidewell.session import cut_lineage
 
@@ -25,54 +26,80 @@ def _ts() -> str:
 def prepare(raw: DataFrame, out_path: str, rule: str = "closed", year_ceiling: int | None = None) -> DataFrame:
     """Raw daily rows -> weekly demand table, written partitioned by month."""
     w = weekly.weekly_rollup(raw, rule=rule, year_ceiling=year_ceiling).withColumn("month", year_month("Date"))
-    sinks.by_month_parts(w).sortWithinPartitions("Store", "Product", "Date") \
+    sinks.by_month_parts(w).sortWithinPartitions(*series_keys(w), "Date") \
         .write.mode("overwrite").partitionBy("month").parquet(out_path)
     return w
 
 
-def monitor(spark: SparkSession, history: DataFrame, upload: DataFrame, out_root: str) -> dict[str, DataFrame]:
+def monitor(spark: SparkSession, history: DataFrame, upload: DataFrame, out_root: str,
+            importance: DataFrame | None = None) -> dict[str, DataFrame]:
     """D11 + D12 with the naive forecast: score every month of ``upload`` against the
-    training years of ``history``; writes predictions (K1b), batch log (A19), drift
-    reports (K3) and decisions; returns the month report and decision frames."""
-    run = _ts()
+    training years of ``history``. Thresholds depend on the features' importance (D6, D7):
+    ``importance`` (feature, importance), or |correlation| with demand when none is given.
+
+    Writes predictions (K1b), the batch log (A19), the nested drift report (K3) and the
+    healing log with a decision per month (D12); returns the month report, per-feature,
+    decision and prediction frames. Works with or without ``Store``."""
+    run = F.lit(_ts())
     train_years, _ = split.split_years(history)
     train = history.where(F.year("Date").isin(train_years))
     state = fe.fit(train)
     base_feats, names = fe.transform(train, state)
     cur_feats, _ = fe.transform(upload, state)
-    cur_feats = cut_lineage(split.month_rows_at_least(cur_feats, 2).withColumn("YearMonth", year_month("Date")))
-    base_feats = base_feats.withColumn("error", F.col("Demand") - F.col("Rolling_Mean_4"))
-    cur_feats = cur_feats.withColumn("error", F.col("Demand") - F.col("Rolling_Mean_4"))
-    pred = forecast.prediction_rows(cur_feats.withColumn("_p", F.col("Rolling_Mean_4")), "_p")
-    sinks.write_predictions(pred, f"{out_root}/predictions", run)
-    pf = drift.feature_drift(base_feats, cur_feats, names, month_col="YearMonth")
-    months = drift.month_severity(pf, drift.error_trend(base_feats, cur_feats, "YearMonth"), "YearMonth") \
-        .withColumnRenamed("YearMonth", "month")
-    sinks.append_log(months.withColumn("run_ts", F.lit(run)), f"{out_root}/drift_history")
-    from tidewell.operators.reports import batch_summary
-    sinks.append_log(batch_summary(pred).withColumn("run_ts", F.lit(run)), f"{out_root}/prediction_batches")
-    return {"months": months, "per_feature": pf.withColumnRenamed("YearMonth", "month"), "predictions": pred}
+    error = F.col("Demand") - F.col("Rolling_Mean_4")
+    # both sides feed every measure: the feature windows run once
+    base_feats = cut_lineage(base_feats.withColumn("error", error))
+    cur_feats = cut_lineage(split.month_rows_at_least(cur_feats, 2).withColumns({"YearMonth": year_month("Date"), "error": error}))
+    pred = forecast.prediction_rows(cur_feats, "Rolling_Mean_4")
+    sinks.write_predictions(pred, f"{out_root}/predictions", _ts())
+    if importance is None:
+        importance = drift.correlation_importance(base_feats, names)
+    categories = drift.importance_category(importance)
+    pf = cut_lineage(drift.feature_drift(base_feats, cur_feats, names, categories, month_col="YearMonth")
+                     .withColumnRenamed("YearMonth", "month"))
+    trend = drift.error_trend(base_feats, cur_feats, "YearMonth").withColumnRenamed("YearMonth", "month")
+    months = cut_lineage(drift.month_severity(pf, trend))
+    decided = drift.decisions(months, cur_feats.select(*series_keys(cur_feats), "Date", F.col("YearMonth").alias("month"), "error"))
+    sinks.append_log(drift.drift_report(pf, months).withColumn("run_ts", run), f"{out_root}/drift_history")
+    sinks.append_log(decided.withColumn("run_ts", run), f"{out_root}/healing_actions")
+    sinks.append_log(reports.batch_summary(pred).withColumn("run_ts", run), f"{out_root}/prediction_batches")
+    return {"months": months, "per_feature": pf, "decisions": decided, "predictions": pred}
 
 
 def reconcile_actuals(spark: SparkSession, history_path: str, actuals_csv: str, forecasts_path: str,
-                      out_root: str) -> dict[str, DataFrame]:
+                      out_root: str, baseline_mae: float | None = None) -> dict[str, DataFrame]:
     """M9: normalise an actuals upload, compare it with the stored forecast of its
-    month(s), replace those months in the history, and forecast the next month (M8)."""
+    month(s), replace those months in the history, and forecast the next month (M8).
+
+    Comparisons are kept one per month: a repeated upload replaces its month (K4). The next
+    forecast goes to ``forecasts_path``, where the next cycle reads it (plus a copy per run
+    in ``<forecasts_path>_history``). With ``baseline_mae`` the stored comparisons are rated
+    (D9, D10). A column of the history that the upload lacks takes its latest value, a
+    missing ``Store`` stays null."""
     upload = ingest.load_actuals(spark, actuals_csv).withColumn("month", year_month("Date"))
     history = spark.read.parquet(history_path)
     fc = spark.read.parquet(forecasts_path)
     keys = [k for k in ("Store", "Product") if k in upload.columns and k in fc.columns]
     compared = reconcile.compare_actuals(upload, fc, keys) if keys else reconcile.compare_global(upload, fc)
-    metrics = reconcile.comparison_metrics(compared)
-    sinks.append_log(metrics.withColumn("run_ts", F.lit(_ts())), f"{out_root}/monthly_comparisons")
+    metrics = cut_lineage(reconcile.comparison_metrics(compared).withColumn("run_ts", F.lit(_ts())))
+    comparisons_path = f"{out_root}/monthly_comparisons"
+    sinks.replace_month_partitions(metrics, comparisons_path, f"{out_root}/staging")
     upload = reconcile.fill_from_last_row(upload, history.drop("month"))
+    for c, kind in history.drop("month").dtypes:
+        if c not in upload.columns:
+            upload = upload.withColumn(c, F.lit(None).cast(kind))
     sinks.replace_month_partitions(upload.select(*history.columns), history_path, f"{out_root}/staging")
-    new_history = spark.read.parquet(history_path)
+    new_history = spark.read.parquet(history_path).drop("month")
     target = new_history.agg(F.date_format(F.add_months(F.max("Date"), 1), "yyyy-MM").alias("t")).first()["t"]
-    scaffold = forecast.future_scaffold(new_history.drop("month"), target)
-    nxt = forecast.month_ahead_naive(new_history.drop("month").unionByName(scaffold, allowMissingColumns=True), target)
+    scaffold = forecast.future_scaffold(new_history, target)
+    nxt = forecast.month_ahead_naive(new_history.unionByName(scaffold, allowMissingColumns=True), target)
     nxt = nxt.withColumns({"CI_Lower": F.round(F.col("Predicted_Demand") * 0.85, 2),
                            "CI_Upper": F.round(F.col("Predicted_Demand") * 1.15, 2),
                            "Predicted_Demand": F.round("Predicted_Demand", 2)})
-    sinks.write_forecast(nxt, forecasts_path + "_current", forecasts_path + "_history", _ts())
-    return {"comparison": metrics, "next_forecast": nxt}
+    sinks.write_forecast(cut_lineage(nxt), forecasts_path, forecasts_path + "_history", _ts())
+    out = {"comparison": metrics, "next_forecast": nxt}
+    if baseline_mae is not None:
+        stored = spark.read.parquet(comparisons_path)
+        out["drift"] = reconcile.comparison_drift(stored, F.lit(baseline_mae))
+        out["overall"] = reconcile.overall_drift(out["drift"])
+    return out

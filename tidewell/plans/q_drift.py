@@ -57,19 +57,7 @@ def monitor_decisions(spark, sf, inputs=None, months=None) -> DataFrame:
     inputs = inputs or _inputs(spark, sf)
     months = months if months is not None else month_reports(spark, sf, inputs)
     _, current = inputs
-    halves = split.validation_halves(current.select("Store", "Product", "Date", F.col(M).alias("month"), "error"))
-    n = F.col("_month_rows")
-    first = F.col("position") <= F.greatest(F.lit(1), F.floor(n / 2))
-    maes = halves.groupBy("month").agg(
-        F.avg(F.when(first, F.abs("error"))).alias("train_mae"),
-        F.avg(F.when(~first, F.abs("error"))).alias("val_mae"))
-    rel = (F.col("val_mae") - F.col("train_mae")) / F.col("train_mae")
-    tune = (F.col("severity") != "none") & (F.col("train_mae") > 0) & (rel >= 0.05)
-    return (months.select("month", "severity").join(maes, "month", "left")
-            .select("month", "severity",
-                    F.when(tune, "fine_tune").otherwise("monitor").alias("action"),
-                    F.when(tune, F.round(rel, 4)).otherwise(F.lit(0.0)).alias("improvement"),
-                    F.lit(False).alias("model_updated")))
+    return drift.decisions(months, current.select("Store", "Product", "Date", F.col(M).alias("month"), "error"))
 
 
 # ── SQL side ───────────────────────────────────────────────────────────────
@@ -356,20 +344,13 @@ SELECT feature, """ + R("importance", 6) + """ AS importance,
 FROM imp, pct""", ids="D6 D7")
 def q_importance_thresholds(spark, sf):
     baseline, _ = _inputs(spark, sf)
-    imp = correlation_importance(baseline, FEATURES)
+    imp = drift.correlation_importance(baseline, FEATURES)
     cat = drift.importance_category(imp)
     return cat.select("feature", F.round("importance", 6).alias("importance"), "category",
                       F.when(F.col("category") == "high", 0.7).when(F.col("category") == "low", 1.3)
                       .otherwise(1.0).alias("factor"))
 
 
-def correlation_importance(df: DataFrame, features: list[str], target: str = "Demand") -> DataFrame:
-    """|Pearson correlation| of each feature with the target: a model-free importance table
-    (one aggregate pass) for the dynamic thresholds when no model importances are given."""
-    row = df.agg(*[F.coalesce(F.abs(F.corr(F.col(c).cast("double"), target)), F.lit(0.0)).alias(c) for c in features])
-    return row.unpivot([], features, "feature", "importance")
-
-
 _FAMILY_SQL = """CASE WHEN starts_with(feature, 'Lag_') THEN 'Lag'
      WHEN starts_with(feature, 'Rolling_') OR starts_with(feature, 'Momentum_') OR starts_with(feature, 'Volatility_')
           THEN 'Rolling'
@@ -394,5 +375,5 @@ FROM fam""", ids="A36 O2 O7 P17")
 def q_feature_families(spark, sf):
     from tidewell.plans.q_models import feature_families
     baseline, _ = _inputs(spark, sf)
-    imp = correlation_importance(baseline, FEATURES).withColumn("importance", F.round("importance", 6))
+    imp = drift.correlation_importance(baseline, FEATURES).withColumn("importance", F.round("importance", 6))
     return feature_families(imp)

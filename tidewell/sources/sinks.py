@@ -35,7 +35,7 @@ def write_predictions(pred: DataFrame, path: str, run_ts: str) -> None:
 
 def write_forecast(fc: DataFrame, current_path: str, history_path: str, run_ts: str) -> None:
     """Forecast of a month: the "current" table per month (replaced) plus a timestamped copy (K2)."""
-    fc.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(current_path)
+    by_month_parts(fc).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(current_path)
     fc.withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy("month", "run_ts").parquet(history_path)
 
 
