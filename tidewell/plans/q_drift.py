@@ -333,11 +333,38 @@ def q_severity_histogram(spark, sf):
         F.count(F.lit(1)).alias("months"))
 
 
-@query("importance_thresholds", DRIFT + """,
+_IMPORTANCE = """,
 imp AS (UNPIVOT (SELECT """ + ", ".join(f"coalesce(abs(corr({c}, Demand)), 0.0) AS {c}" for c in FEATURES) + """
                  FROM base_rows) ON """ + ", ".join(FEATURES) + """ INTO NAME feature VALUE importance),
 pct AS (SELECT quantile_cont(importance, 0.8) AS p_high, quantile_cont(importance, 0.5) AS p_medium,
-               quantile_cont(importance, 0.2) AS p_low FROM imp)
+               quantile_cont(importance, 0.2) AS p_low FROM imp)"""
+
+# thresholds scaled by the importance category of the feature
+_DYNAMIC = _IMPORTANCE + """,
+fac AS (SELECT feature, CAST(CASE WHEN importance >= p_high THEN 0.7 WHEN importance <= p_low THEN 1.3 ELSE 1.0 END AS DOUBLE) AS f
+        FROM imp, pct),
+dpf AS (SELECT pf.month, CASE WHEN ks < 0.05::DOUBLE * f THEN 'none' WHEN ks < 0.15::DOUBLE * f THEN 'mild' ELSE 'severe' END AS k,
+               CASE WHEN psi < 0.1::DOUBLE * f THEN 'none' WHEN psi < 0.25::DOUBLE * f THEN 'mild' ELSE 'severe' END AS p
+        FROM pf JOIN fac ON pf.feature = fac.feature),
+dcn AS (SELECT month, count(*) FILTER (WHERE k = 'severe') + count(*) FILTER (WHERE p = 'severe') AS severe_features,
+               count(*) FILTER (WHERE k = 'mild') AS mild_features, count(*) AS total_features FROM dpf GROUP BY month)
+SELECT t.month, CASE WHEN coalesce(c.severe_features, 0) > 0 OR drift THEN 'severe'
+                     WHEN c.mild_features > c.total_features * 0.3 THEN 'mild' ELSE 'none' END AS severity,
+       coalesce(c.severe_features, 0) AS severe_features, coalesce(c.mild_features, 0) AS mild_features,
+       coalesce(c.total_features, 0) AS total_features
+FROM trend t LEFT JOIN dcn c ON t.month = c.month"""
+
+
+@query("drift_severity_dynamic", DRIFT + _DYNAMIC, ids="D1 D2 D6 D7 D8")
+def q_drift_severity_dynamic(spark, sf):
+    baseline, current = _inputs(spark, sf)
+    categories = drift.importance_category(drift.correlation_importance(baseline, FEATURES))
+    pf = drift.feature_drift(baseline, current, FEATURES, categories, month_col=M)
+    months = drift.month_severity(pf, drift.error_trend(baseline, current, month_col=M), month_col=M)
+    return months.select(F.col(M).alias("month"), "severity", "severe_features", "mild_features", "total_features")
+
+
+@query("importance_thresholds", DRIFT + _IMPORTANCE + """
 SELECT feature, """ + R("importance", 6) + """ AS importance,
        CASE WHEN importance >= p_high THEN 'high' WHEN importance <= p_low THEN 'low' ELSE 'medium' END AS category,
        CAST(CASE WHEN importance >= p_high THEN 0.7 WHEN importance <= p_low THEN 1.3 ELSE 1.0 END AS DOUBLE) AS factor
