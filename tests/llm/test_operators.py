@@ -165,6 +165,17 @@ def test_lm_score(docs, empty):
     assert abs(none["bits_per_byte"] - 8) < 1e-6 and none["train_tokens"] == 0
 
 
+def test_lm_score_uses_six_context_bytes(spark):
+    """The byte after "bcdef" is given by the sixth byte before it only: a model of five
+    bytes pays one more bit for every word of eight bytes."""
+    importable(spark)
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice(["pbcdefx", "qbcdefy"]) for _ in range(200))) for i in range(40)]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 10 != 0)
+    held = [r["bits_per_byte"] for r in got.filter("held_out").collect()]
+    assert len(held) == 4 and max(held) < 0.19
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all next bytes of a context the mixture is a distribution."""
     import numpy as np

@@ -13,10 +13,12 @@ the longest one it saw.
 Spark part: texts are packed in blocks once. Each block sends its distinct (context, byte)
 grams with their training counts, one row per (bucket, block), where a bucket holds all
 grams whose last two context bytes it owns; nothing is pruned, so the counts gathered grow
-with the corpus. A first pass over the buckets sums the weighted probabilities up to depth
-1, a table of at most 2**16 rows that finishes depths 1 and 0 on the driver; the second
-pass returns each block the code length of its grams. Word counts for the base score travel
-the same way. A text longer than a block is a block of its own.
+with the corpus. A bucket is merged once and written as one row: its distinct grams with
+their counts, and each block's places among them (small differences instead of keys). The
+same pass sums the weighted probabilities up to depth 1, a table of at most 2**16 rows that
+finishes depths 1 and 0 on the driver; a second pass reads the merged buckets, without
+another exchange, and returns each block the code length of its grams. Word counts for the
+base score travel in one exchange and back. A text longer than a block is a block of its own.
 
 Defined cases: null and empty texts are one end token; without training texts the base
 score takes V = N = 0 and every byte costs eight bits; repeated rows count and are scored
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from tidewell.llm import arrow_words as A
 from tidewell.llm import blocks as B
 
-DEPTH = 5                 # context bytes; a gram is DEPTH + 1 bytes of a 64-bit key
+DEPTH = 6                 # context bytes; a gram is DEPTH + 1 bytes of a 64-bit key
 SPACE, END = 32, 10
 _END_WORD = A.constants(1, 401)      # stands for the end token among word hashes
 _HALF = math.log(0.5)
@@ -231,6 +233,11 @@ class Block:
         return uniq, _counts(of, keep, len(uniq)), of, w
 
 
+MERGED = ("bucket long, grams binary, blocks array<string>, places array<binary>, "
+          "kind long, slot long, value double")
+MERGED_NAMES = ["bucket", "grams", "blocks", "places", "kind", "slot", "value"]
+
+
 def _summed(key: np.ndarray, n: np.ndarray):
     uniq, of = np.unique(key, return_inverse=True)
     return uniq, np.bincount(of, n, len(uniq)).astype(np.int64), of
@@ -251,11 +258,22 @@ def score(docs: DataFrame, train_rule: Column, id_col: str = "doc_id", text_col:
             for name, blob in zip(batch.column("block").to_pylist(), batch.column("data")):
                 key, n, _, _ = Block(blob.as_py()).gram_request()
                 yield B.dealt(name, key, gram_buckets, n.astype(np.uint32), by=_bucket_of(key))
-    asked = B.staged(data.mapInArrow(ask_grams, B.REQUEST))
 
-    def bucket_sums(t: pa.Table) -> pa.Table:
+    def merge_bucket(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("block", "ascending")])
         parts = [B.unsqueeze(x) for x in t["data"].to_pylist()]
-        key, n, _ = _summed(*[np.concatenate(c) for c in zip(*parts)])
+        size = [len(p[0]) for p in parts]
+        key, n, of = _summed(*[np.concatenate(c) for c in zip(*parts)])
+        del parts
+        cut = np.cumsum([0, *size])
+        merged = pa.table({"bucket": t["bucket"][:1], "grams": pa.array([B.squeeze(key, n)], pa.binary()),
+                           "blocks": pa.array([t["block"].to_pylist()], pa.list_(pa.string())),
+                           "places": pa.array([[B.squeeze(of[a:b].astype(np.uint32)) for a, b in zip(cut[:-1], cut[1:])]],
+                                              pa.list_(pa.binary()))})
+        sums = bucket_sums(key, n)
+        return pa.concat_tables([merged, sums], promote_options="default").select(MERGED_NAMES)
+
+    def bucket_sums(key, n) -> pa.Table:
         seen = n > 0
         deep, places = _tree(key[seen], n[seen], DEPTH, 2)
         kinds, slots, values = [], [], []
@@ -273,22 +291,27 @@ def score(docs: DataFrame, train_rule: Column, id_col: str = "doc_id", text_col:
         return pa.table({"kind": np.concatenate(kinds).astype(np.int64), "slot": np.concatenate(slots).astype(np.int64),
                          "value": np.concatenate(values).astype(np.float64)})
     counts, sums = np.zeros((256, 256), np.int64), np.zeros((8, 1 << 16))
+    buckets = B.staged(data.mapInArrow(ask_grams, B.REQUEST).groupBy("bucket").applyInArrow(merge_bucket, MERGED))
     # at most 9 * 2**16 rows
-    for kind, slot, value in (asked.groupBy("bucket").applyInArrow(bucket_sums, "kind long, slot long, value double")
-                              .groupBy("kind", "slot").agg(F.sum("value")).collect()):
+    for kind, slot, value in (buckets.filter("grams is null").groupBy("kind", "slot").agg(F.sum("value")).collect()):
         if kind < 0:
             counts.ravel()[slot] = int(value)
         else:
             sums[kind, slot] = value
     top = Top(counts, sums)
 
-    def code_lengths(cols, _):
-        key, n = cols
-        uniq, n, of = _summed(key, n.astype(np.int64))
-        deep, places = _tree(uniq, n, DEPTH, 2)
-        bits = -_log_probability(deep, places, top, 2)
-        return [bits[of].astype(np.float32).view(np.uint32)]
-    grams_back = B.answers(asked, code_lengths)
+    def code_lengths(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bucket, blocks, grams, places = (batch.column(c)[row].as_py() for c in ("bucket", "blocks", "grams", "places"))
+                key, n = B.unsqueeze(grams)
+                deep, up = _tree(key, n, DEPTH, 2)
+                bits = (-_log_probability(deep, up, top, 2)).astype(np.float32).view(np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket] * len(blocks), pa.int64()), pa.array(blocks, pa.string()),
+                     pa.array([B.squeeze(bits[B.unsqueeze(p)[0]]) for p in places], pa.binary())],
+                    ["bucket", "block", "data"])
+    grams_back = buckets.filter("grams is not null").select("bucket", "blocks", "grams", "places").mapInArrow(code_lengths, B.ANSWER)
 
     def ask_words(batches):
         for batch in batches:
