@@ -141,6 +141,25 @@ def test_near_dedup(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_keeps_one_with_null_and_repeated_ids(spark):
+    importable(spark)
+    rnd = random.Random(11)
+
+    def variants(n):
+        w = [f"w{rnd.randrange(10 ** 6)}" for _ in range(200)]
+        return [" ".join(w[:k] + ["changed"] + w[k + 1:]) for k in range(60, 60 + 5 * n, 5)]
+    null, same, full, plain = (variants(3) for _ in range(4))
+    rows = [(None, t) for t in null] + [(4, t) for t in same] + [(9, t) for t in full[1:]] + [(7, full[0])] * 2
+    rows += [(20 + k, t) for k, t in enumerate(plain)] + [(None, ""), (None, ""), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in near_dedup.keep_representatives(docs).collect()]
+    assert sum(t in null for _, t in kept) == 1 and sum(t in same for _, t in kept) == 1
+    assert [r for r in kept if r[1] in full] == [(7, full[0])] and [r for r in kept if r[1] in plain] == [(20, plain[0])]
+    assert sum(not t for _, t in kept) == 4 and len(kept) == 8      # empty texts link with nothing
+    marked = near_dedup.near_duplicates(docs).filter("kept and n_shingles > 0")
+    assert marked.count() == 5                                      # rows repeating id and text are marked alike
+
+
 def test_decontaminate(docs, empty, spark):
     texts = [t for _, t, *_ in corpus()]
     w = WORD.findall(texts[6])

@@ -22,7 +22,8 @@ between different texts is lost.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and are kept;
 texts with fewer words than a shingle have their whole word sequence as one shingle; null
-ids act as larger than all others; rows repeating an id are separate documents; an empty
+ids act as larger than all others; rows repeating an id are separate documents, of which
+the one with the smallest text hash is kept if their id is the component's smallest; an empty
 table gives an empty result; other columns are ignored by ``near_duplicates`` and kept by
 ``keep_representatives``.
 """
@@ -324,11 +325,12 @@ _NULL_ID = (1 << 63) - 1
 
 
 def resolve(docs: DataFrame, id_col: str, text_col: str, size: int, share: int) -> DataFrame:
-    """Feature rows with comp_id, the smallest id of the row's component."""
+    """Feature rows with (comp_id, comp_key), the smallest (id, text hash) of the row's component."""
     importable(docs.sparkSession)
     feats = features(docs, id_col, text_col, size).withColumn("id", F.coalesce("id", F.lit(_NULL_ID)))
     classes = staged(feats.filter("n_shingles > 0").groupBy("s1", "s2")
-                     .agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
+                     .agg(F.min(F.struct("id", "key")).alias("least"), F.min("sig").alias("sig"))
+                     .select("s1", "s2", F.col("least.id").alias("id"), F.col("least.key").alias("key"), "sig")
                      .withColumn("node", F.monotonically_increasing_id()))
     sigs = classes.select("node", "sig")
     keys = sigs.mapInArrow(_keys, "key long, which int, node long")
@@ -373,9 +375,16 @@ def resolve(docs: DataFrame, id_col: str, text_col: str, size: int, share: int)
     links2 = cells.groupBy("cell", "lo", "hi").applyInArrow(_cell_links(share), "u long, v long")
     final = connected_components(links.unionByName(links2))
     labelled = staged(classes.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    least = labelled.groupBy("comp").agg(F.min("id").alias("comp_id"))
-    return feats.join(labelled.join(least, "comp").select("s1", "s2", "comp_id"), ["s1", "s2"], "left").withColumn(
-        "comp_id", F.when(F.col("n_shingles") > 0, F.col("comp_id")).otherwise(F.col("id")))
+    least = labelled.groupBy("comp").agg(F.min(F.struct("id", "key")).alias("least"))
+    first = labelled.select("s1", "s2", "comp").join(least, "comp").select(
+        "s1", "s2", F.col("least.id").alias("comp_id"), F.col("least.key").alias("comp_key"))
+    linked = F.col("n_shingles") > 0
+    return (feats.join(first, ["s1", "s2"], "left")
+            .withColumn("comp_id", F.when(linked, F.col("comp_id")).otherwise(F.col("id")))
+            .withColumn("comp_key", F.when(linked, F.col("comp_key")).otherwise(F.col("key"))))
+
+
+_SURVIVES = "id = comp_id and key = comp_key"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -387,13 +396,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def known(c):
         return F.when(F.col(c) != _NULL_ID, F.col(c))
     return r.select(known("id").alias("doc_id"), "n_shingles", known("comp_id").alias("component_id"),
-                    (F.col("id") == F.col("comp_id")).alias("kept"))
+                    F.expr(_SURVIVES).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                          share: int = 80) -> DataFrame:
-    """The documents with one left of each component, all columns kept."""
-    r = resolve(docs, id_col, text_col, size, share)
-    gone = r.filter("id <> comp_id").select(F.col("id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
-    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)) == F.col("_gone")) & (F.xxhash64(F.col(text_col)) == F.col("_gone_key"))
-    return docs.join(gone, same, "left_anti")
+    """The documents with one left of each component, all columns kept: the one with the
+    smallest id, with equal (or only null) smallest ids the one of the smallest text hash.
+    Of rows that repeat both id and text one stays."""
+    r = staged(resolve(docs, id_col, text_col, size, share).select("id", "key", "n_shingles", "comp_id", "comp_key"))
+    gone = r.filter(f"not ({_SURVIVES})").select(F.col("id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
+    row_id, row_key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)), F.xxhash64(F.col(text_col))
+    left = docs.join(gone, (row_id == F.col("_gone")) & (row_key == F.col("_gone_key")), "left_anti")
+    again = staged(r.filter(f"n_shingles > 0 and {_SURVIVES}").groupBy("id", "key").agg(F.count("*").alias("n"))
+                   .filter("n > 1").select(F.col("id").alias("_again"), F.col("key").alias("_again_key")))
+    if again.isEmpty():
+        return left
+    same = (row_id == F.col("_again")) & (row_key == F.col("_again_key"))
+    one = (left.join(again, same, "left_semi").withColumn("_same_id", row_id).withColumn("_same_key", row_key)
+           .dropDuplicates(["_same_id", "_same_key"]).drop("_same_id", "_same_key"))
+    return left.join(again, same, "left_anti").unionByName(one)
