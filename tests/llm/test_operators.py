@@ -195,6 +195,24 @@ def test_lm_score_uses_six_context_bytes(spark):
     assert len(held) == 4 and max(held) < 0.19
 
 
+def test_lm_score_splits_hot_contexts(docs, monkeypatch):
+    """A two-byte context with many grams is dealt to several buckets, with equal scores."""
+    rule = F.col("doc_id") % 10 != 0
+    whole = by_id(lm_score.score(docs, rule).collect(), "score")
+    made = []
+    split = lm_score.Split
+    monkeypatch.setattr(lm_score, "hot_contexts", lambda packed, blocks, total, limit, f=lm_score.hot_contexts: made.append(
+        f(packed, blocks, total, limit)) or made[0])
+    monkeypatch.setattr(lm_score, "SPLIT_KEYS", 8)
+    parts = by_id(lm_score.score(docs, rule).collect(), "score")
+    hot = split(made[0]).hot
+    assert len(hot[2]) > 5 and len(hot[3]) > 0
+    import numpy as np
+    key = (hot[2][0] << np.uint64(40)) | (np.arange(97, 107, dtype=np.uint64) << np.uint64(32))
+    assert len(set((split(made[0]).bucket(key) % np.uint64(16)).tolist())) > 3
+    assert len(whole) == len(parts) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 * abs(a[1]) for a, b in zip(whole, parts))
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all next bytes of a context the mixture is a distribution."""
     import numpy as np

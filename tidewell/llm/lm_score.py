@@ -12,11 +12,13 @@ the longest one it saw.
 
 Spark part: texts are packed in blocks once. Each block sends its distinct (context, byte)
 grams with their training counts, one row per (bucket, block), where a bucket holds all
-grams whose last two context bytes it owns; nothing is pruned, so the counts gathered grow
+grams whose last two context bytes it owns (contexts that a sample finds to hold more grams
+than a bucket should are dealt by three or more bytes instead); nothing is pruned, so the counts gathered grow
 with the corpus. A bucket is merged once and written as one row: its distinct grams with
 their counts, and each block's places among them (small differences instead of keys). The
 same pass sums the weighted probabilities up to depth 1, a table of at most 2**16 rows that
-finishes depths 1 and 0 on the driver; a second pass reads the merged buckets, without
+finishes depths 1 and 0 on the driver, and at most 511 rows of each split context, finished
+there before (one per million grams at most, and depth); a second pass reads the merged buckets, without
 another exchange, and returns each block the code length of its grams. Word counts for the
 base score travel in one exchange and back. A text longer than a block is a block of its own.
 
@@ -40,6 +42,9 @@ from tidewell.llm import blocks as B
 DEPTH = 6                 # context bytes; a gram is DEPTH + 1 bytes of a 64-bit key
 SPACE, END = 32, 10
 _END_WORD = A.constants(1, 401)      # stands for the end token among word hashes
+GRAMS_A_BYTE = 0.06       # distinct grams of a block per byte of text
+SPLIT_KEYS = B.KEYS_PER_BUCKET       # a context with more grams is dealt by one more byte
+SAMPLE_BYTES = 1 << 20    # of a block, to find such contexts
 _HALF = math.log(0.5)
 _SMALL = np.array([math.lgamma(i + 0.5) for i in range(1024)])
 _SMALL1 = np.array([math.lgamma(i + 1.0) for i in range(2048)])
@@ -203,9 +208,132 @@ def grams(texts: pa.Array):
     return key, begin, w
 
 
-def _bucket_of(key: np.ndarray) -> np.ndarray:
-    """Hash of the last two context bytes."""
-    return A.mix(key >> np.uint64(8 * (DEPTH - 1))) >> np.uint64(20)
+class Split:
+    """Which contexts are dealt by more than their last two bytes. ``hot[d]``: contexts of d
+    bytes (sorted) with more grams than a bucket should hold; their grams are dealt by d + 1
+    bytes, or more where that is hot too. Sampled, so it only decides where a gram is counted."""
+
+    def __init__(self, hot: dict[int, np.ndarray]):
+        self.hot, self.mixed = {1: np.arange(256, dtype=np.uint64)}, {}
+        for d in range(2, DEPTH):
+            found = np.unique(np.asarray(hot.get(d, ()), np.uint64))
+            self.hot[d] = found[np.isin(found >> np.uint64(8), self.hot[d - 1])] if d > 2 else found
+
+    def leaf(self, key: np.ndarray) -> np.ndarray:
+        """Context bytes by which each gram is dealt."""
+        out = np.full(len(key), 2)
+        at = np.arange(len(key))
+        for d in range(2, DEPTH):
+            if not len(self.hot[d]):
+                break
+            at = at[np.isin(key[at] >> np.uint64(8 * (DEPTH + 1 - d)), self.hot[d])]
+            out[at] = d + 1
+        return out
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        """Hash of the context bytes a gram is dealt by."""
+        return A.mix(key >> (8 * (DEPTH + 1 - self.leaf(key))).astype(np.uint64)) >> np.uint64(20)
+
+    def parts(self, key: np.ndarray):
+        """(context bytes dealt by, places of these grams)."""
+        leaf = self.leaf(key)
+        return [(int(d), np.flatnonzero(leaf == d)) for d in np.unique(leaf)]
+
+    def sums(self, key: np.ndarray, n: np.ndarray):
+        """(kind, slot, value) of a bucket's trained grams for the depth above the one they are
+        dealt by: kind = 16 * depth + bit for weighted log probabilities, + 15 for counts."""
+        out = []
+        for depth, at in self.parts(key):
+            deep, places = _tree(key[at], n[at], DEPTH, depth)
+            size = 256 * len(self.hot[depth - 1])
+            sym = (deep[-1].key & np.uint64(255)).astype(np.int64)
+            per = [(15, np.bincount(self._slot(deep[-1].key >> np.uint64(16), depth - 1) + sym, deep[-1].n, size))]
+            for bit in range(8):
+                *_, (_, _, _, _, whole, node, _) = _weighted(deep, places, bit)
+                prefix = (node & np.uint64((1 << bit) - 1)).astype(np.int64)
+                per.append((bit, np.bincount(self._slot(node >> np.uint64(bit + 8), depth - 1) + prefix, whole, size)))
+            for k, value in per:
+                slot = np.flatnonzero(value)
+                out.append((np.full(len(slot), 16 * depth + k), slot, value[slot].astype(np.float64)))
+        return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+
+    def _slot(self, ctx: np.ndarray, depth: int) -> np.ndarray:
+        return np.searchsorted(self.hot[depth], ctx) * 256
+
+    def finish(self, rows) -> None:
+        """Finish hot contexts, longest first, then depths 1 and 0, from the summed rows."""
+        counts = {d: np.zeros(256 * len(self.hot[d - 1]), np.int64) for d in range(2, DEPTH + 1)}
+        sums = {d: np.zeros((8, 256 * len(self.hot[d - 1]))) for d in range(2, DEPTH + 1)}
+        for kind, slot, value in rows:
+            depth, k = divmod(kind, 16)
+            if k == 15:
+                counts[depth][slot] = int(value)
+            else:
+                sums[depth][k, slot] = value
+        for d in range(DEPTH - 1, 1, -1):
+            if not len(self.hot[d]):
+                continue
+            at = np.flatnonzero(counts[d + 1])
+            one = Depth((self.hot[d][at >> 8] << np.uint64(8)) | (at & 255).astype(np.uint64), counts[d + 1][at])
+            np.add.at(counts[d], self._slot(one.key >> np.uint64(16), d - 1) + (at & 255), one.n)
+            kt, stop, seen = np.full(255 * len(self.hot[d]), 0.5), np.zeros(255 * len(self.hot[d])), np.zeros(255 * len(self.hot[d]), bool)
+            for bit in range(8):
+                node = one.level(bit)[3]
+                prefix = (node & np.uint64((1 << bit) - 1)).astype(np.int64)
+                slot = self._slot(node >> np.uint64(bit), d)
+                (_, est, log_stop, some, whole, _, _), = _weighted([one], [], bit, sums[d + 1][bit][slot + prefix])
+                to = slot // 256 * 255 + (1 << bit) - 1 + prefix
+                kt[to], stop[to], seen[to] = est, log_stop, some
+                np.add.at(sums[d][bit], self._slot(node >> np.uint64(bit + 8), d - 1) + prefix, whole)
+            self.mixed[d] = kt, stop, seen
+        self.top = Top(counts[2].reshape(256, 256), sums[2])
+
+    def code_lengths(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+        bits = np.zeros(len(key))
+        for depth, at in self.parts(key):
+            deep, places = _tree(key[at], n[at], DEPTH, depth)
+            bits[at] = -_log_probability(deep, places, lambda *a, depth=depth: self._above(depth, *a), depth)
+        return bits
+
+    def _above(self, depth: int, bit: int, key: np.ndarray, p: np.ndarray, known: np.ndarray) -> np.ndarray:
+        prefix = (key & np.uint64(255)).astype(np.int64) >> (8 - bit)
+        for d in range(depth - 1, 1, -1):
+            kt, stop, seen = self.mixed[d]
+            at = self._slot(key >> np.uint64(8 * (DEPTH + 1 - d)), d) // 256 * 255 + (1 << bit) - 1 + prefix
+            w = np.exp(np.minimum(stop[at], 0.0))
+            p = np.where(known, w * kt[at] + (1 - w) * p, kt[at])
+            known = known | seen[at]
+        return self.top(bit, key, p, known)
+
+
+def hot_contexts(packed: DataFrame, blocks: int, total: int, limit: int) -> dict[int, np.ndarray]:
+    """Contexts of 2 to DEPTH - 1 bytes with more than about ``limit`` grams summed over the
+    blocks, read from about 1 MB of up to about 16 blocks."""
+    if total * GRAMS_A_BYTE <= limit:
+        return {}
+
+    def sample(batches):
+        for batch in batches:
+            for blob in batch.column("data"):
+                texts = Block(blob.as_py()).texts
+                size = max(1, len(A.text_bytes(texts)[0]))
+                texts = texts.take(pa.array(np.arange(0, len(texts), -(-size // SAMPLE_BYTES))))
+                size = max(1, len(A.text_bytes(texts)[0]))
+                key = np.unique(grams(texts)[0])
+                rows = [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([size]))]
+                for d in range(2, DEPTH):
+                    ctx, n = np.unique(key >> np.uint64(8 * (DEPTH + 1 - d)), return_counts=True)
+                    many = n * (total / size) > limit / 4
+                    rows.append((np.full(many.sum(), d), ctx[many].astype(np.int64), n[many]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)],
+                                                 ["depth", "ctx", "n"])
+    some = packed.filter(F.pmod(F.xxhash64("block"), F.lit(max(1, -(-blocks // 16)))) == 0).select("data")
+    found = some.mapInArrow(sample, "depth long, ctx long, n long").groupBy("depth", "ctx").agg(F.sum("n").alias("n"))
+    # a context is over a quarter of the limit somewhere: at most 4 * grams / limit of a depth and block
+    rows = found.collect()
+    size = sum(r["n"] for r in rows if r["depth"] == 0)
+    return {d: np.array([r["ctx"] for r in rows if r["depth"] == d and r["n"] * (total / size) > limit], np.uint64)
+            for d in range(2, DEPTH)}
 
 
 def _counts(of: np.ndarray, keep: np.ndarray, size: int) -> np.ndarray:
@@ -249,15 +377,16 @@ def score(docs: DataFrame, train_rule: Column, id_col: str = "doc_id", text_col:
     d = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col),
                     F.coalesce(train_rule, F.lit(True)).alias("train"))
     packed = B.pack(d, id_col, text_col, "train")
-    total = packed.agg(F.sum("n_bytes")).first()[0] or 0
-    gram_buckets, word_buckets = B.bucket_count(total, 0.06), B.bucket_count(total, 0.05)
+    blocks, total = (x or 0 for x in packed.agg(F.count("*"), F.sum("n_bytes")).first())
+    gram_buckets, word_buckets = B.bucket_count(total, GRAMS_A_BYTE), B.bucket_count(total, 0.05)
+    split = Split(hot_contexts(packed, blocks, total, SPLIT_KEYS))
     data = packed.select("block", "data")
 
     def ask_grams(batches):
         for batch in batches:
             for name, blob in zip(batch.column("block").to_pylist(), batch.column("data")):
                 key, n, _, _ = Block(blob.as_py()).gram_request()
-                yield B.dealt(name, key, gram_buckets, n.astype(np.uint32), by=_bucket_of(key))
+                yield B.dealt(name, key, gram_buckets, n.astype(np.uint32), by=split.bucket(key))
 
     def merge_bucket(t: pa.Table) -> pa.Table:
         t = t.sort_by([("block", "ascending")])
@@ -270,43 +399,20 @@ def score(docs: DataFrame, train_rule: Column, id_col: str = "doc_id", text_col:
                            "blocks": pa.array([t["block"].to_pylist()], pa.list_(pa.string())),
                            "places": pa.array([[B.squeeze(of[a:b].astype(np.uint32)) for a, b in zip(cut[:-1], cut[1:])]],
                                               pa.list_(pa.binary()))})
-        sums = bucket_sums(key, n)
+        kind, slot, value = split.sums(key[n > 0], n[n > 0])
+        sums = pa.table({"kind": kind.astype(np.int64), "slot": slot.astype(np.int64), "value": value})
         return pa.concat_tables([merged, sums], promote_options="default").select(MERGED_NAMES)
-
-    def bucket_sums(key, n) -> pa.Table:
-        seen = n > 0
-        deep, places = _tree(key[seen], n[seen], DEPTH, 2)
-        kinds, slots, values = [], [], []
-        sym = (deep[-1].key & np.uint64(255)).astype(np.int64)
-        last = (deep[-1].key >> np.uint64(16)).astype(np.int64) & 255
-        per = np.bincount(last * 256 + sym, deep[-1].n, 1 << 16)
-        at = np.flatnonzero(per)
-        kinds.append(np.full(len(at), -1)), slots.append(at), values.append(per[at])
-        for bit in range(8):
-            *_, (_, _, _, _, whole, node, _) = _weighted(deep, places, bit)
-            ctx = (node >> np.uint64(bit + 8)).astype(np.int64) & 255
-            per = np.bincount(ctx * 256 + (node & np.uint64((1 << bit) - 1)).astype(np.int64), whole, 1 << 16)
-            at = np.flatnonzero(per)
-            kinds.append(np.full(len(at), bit)), slots.append(at), values.append(per[at])
-        return pa.table({"kind": np.concatenate(kinds).astype(np.int64), "slot": np.concatenate(slots).astype(np.int64),
-                         "value": np.concatenate(values).astype(np.float64)})
-    counts, sums = np.zeros((256, 256), np.int64), np.zeros((8, 1 << 16))
     buckets = B.staged(data.mapInArrow(ask_grams, B.REQUEST).groupBy("bucket").applyInArrow(merge_bucket, MERGED))
-    # at most 9 * 2**16 rows
-    for kind, slot, value in (buckets.filter("grams is null").groupBy("kind", "slot").agg(F.sum("value")).collect()):
-        if kind < 0:
-            counts.ravel()[slot] = int(value)
-        else:
-            sums[kind, slot] = value
-    top = Top(counts, sums)
+    # at most 9 * 2**16 rows, and 511 of each hot context
+    done = Split(split.hot)
+    done.finish(buckets.filter("grams is null").groupBy("kind", "slot").agg(F.sum("value")).collect())
 
     def code_lengths(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 bucket, blocks, grams, places = (batch.column(c)[row].as_py() for c in ("bucket", "blocks", "grams", "places"))
                 key, n = B.unsqueeze(grams)
-                deep, up = _tree(key, n, DEPTH, 2)
-                bits = (-_log_probability(deep, up, top, 2)).astype(np.float32).view(np.uint32)
+                bits = done.code_lengths(key, n).astype(np.float32).view(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([bucket] * len(blocks), pa.int64()), pa.array(blocks, pa.string()),
                      pa.array([B.squeeze(bits[B.unsqueeze(p)[0]]) for p in places], pa.binary())],
@@ -343,7 +449,7 @@ def score(docs: DataFrame, train_rule: Column, id_col: str = "doc_id", text_col:
         for blob in text["data"]:
             block = Block(blob.as_py())
             key, _, of, begin = block.gram_request()
-            bits = B.collected(got.filter(pc.equal(got["kind"], 1)), key, gram_buckets, by=_bucket_of(key))
+            bits = B.collected(got.filter(pc.equal(got["kind"], 1)), key, gram_buckets, by=split.bucket(key))
             cost = np.concatenate([[0.0], np.cumsum(bits[0].view(np.float32).astype(np.float64)[of])])
             cost = cost[begin[1:]] - cost[begin[:-1]]
             h, _, of, w = block.word_request()
