@@ -6,7 +6,10 @@ dealt to ``FAN_IN ** levels`` runs by a hash of the row. In each round ``FAN_IN`
 digest meet in one of the next level (run number divided by ``FAN_IN``): a partial and a
 final aggregate merge them, keep the smallest doc_id and the count, and compare the check
 values, so a digest that stood for two different texts raises instead of merging them.
-After the last round one row per digest is left. The answer travels back down the same
+After the last round one row per digest is left.
+A native hash aggregate per level stands for the sorted multiway merge of digest runs: no run
+is sorted and none is merged in order, the rows of a (digest, run) meet by hash instead, with
+the same groups, smallest ids and checks at every level. The answer travels back down the same
 tree, one level per join, so no join key ever gathers more than ``FAN_IN`` rows of a level
 (the last level: the rows of one run), however many copies a text has.
 
