@@ -119,6 +119,22 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substring_edges_use_the_second_hash(monkeypatch):
+    """Where the first word hash cannot tell words apart, edges still do."""
+    import numpy as np
+    import pyarrow as pa
+    word_hash = substring_dedup.A.word_hash
+    monkeypatch.setattr(substring_dedup.A, "word_hash",
+                        lambda w, seed=1: np.ones(len(w.start), np.uint64) if seed == 1 else word_hash(w, seed))
+    t = pa.table({"id": [1, 2], "text": [" ".join(f"{c}{k}" for k in range(30)) for c in "ab"]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as out:
+        out.write_table(t)
+    b = substring_dedup.Block(sink.getvalue().to_pybytes(), 20)
+    edges = b.into[b.into > 0]
+    assert len(edges) > 2 and len(np.unique(edges)) == len(edges)
+
+
 def test_near_dedup(docs, empty):
     rows = [(BIG if i is None else i, t) for i, t, *_ in corpus()]
     sets = []

@@ -13,8 +13,12 @@ exchange of their own 128-bit hashes with source coordinates. A window whose wor
 start earlier (smaller doc_id, or earlier in the document) is repeated, and the words under
 repeated windows are removed.
 
-Equality of nodes and edges, or of windows at branches, rests on 128 bits of independent
-hash; a node is never matched alone except where its window ends with it, where the window
+No path is compacted and no span is compared at its source coordinates: each window is
+settled from its node's flags, or by the exchange of window hashes.
+
+Equality rests on hashes. A node is matched by 64 bits of one word hash and an edge by 64
+bits of a second, independent one, so a closed window has 128 bits on the node's words and
+the edge's 64 on the others; windows at branches are matched by 128 bits, 64 of each. A node is never matched alone except where its window ends with it, where the window
 hashes decide.
 
 Defined cases: null, empty and short texts (under ``WINDOW`` words) lose nothing; null ids
@@ -54,7 +58,8 @@ class Block:
         t = B.unpack(data)
         self.ids, self.window = t["id"].combine_chunks() if t.num_rows else pa.array([], pa.int64()), window
         self.w = A.find_words(t["text"])
-        h = self.h = A.word_hash(self.w, 1)
+        h, second = A.word_hash(self.w, 1), A.word_hash(self.w, 2)
+        self.h, self.second = h, second
         self.span = window - K + 1
         self.ok = np.flatnonzero(A.remaining(self.w) >= window)            # window starts
         if len(self.ok):
@@ -68,8 +73,8 @@ class Block:
             prev = np.where(linked, np.concatenate([[0], self.node[:-1]]), -1)
             nxt = np.where(np.append(linked[1:], False), np.append(self.node[1:], 0), -1)
             at = np.maximum(prev, 0)
-            self.into = np.where(prev >= 0, _span_hash(h, at, np.where(prev >= 0, self.node + K, at)), np.uint64(0))
-            self.out = np.where(nxt >= 0, _span_hash(h, self.node, np.where(nxt >= 0, nxt + K, self.node)), np.uint64(0))
+            self.into = np.where(prev >= 0, _span_hash(second, at, np.where(prev >= 0, self.node + K, at)), np.uint64(0))
+            self.out = np.where(nxt >= 0, _span_hash(second, self.node, np.where(nxt >= 0, nxt + K, self.node)), np.uint64(0))
             self.prev, self.next = prev, nxt
             self.key, self.first, self.of = np.unique(kmer[self.node], return_index=True, return_inverse=True)
         else:
@@ -123,8 +128,7 @@ class Block:
         return s["a"][new], s["b"][new], self.doc_ids(self.w.row[self.ok[at][first]]), of, first
 
     def _window_hashes(self):
-        second = A.word_hash(self.w, 2)
-        return A.window_hash(self.h, self.window, 305), A.window_hash(second, self.window, 306)
+        return A.window_hash(self.h, self.window, 305), A.window_hash(self.second, self.window, 306)
 
 
 def _merge_nodes(cols, block):
