@@ -20,7 +20,8 @@ def test_registry_contract():
     assert set(sqls) <= set(qs)
     own = set(catalog.queries())
     rows_only = own - set(sqls)
-    assert rows_only == {"gbt_forecast", "rf_interval", "feature_importance", "heal_decisions"}
+    assert rows_only == {"gbt_forecast", "rf_interval", "feature_importance", "heal_decisions", "search_scores",
+                         "model_versions", "model_month_ahead"}
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -82,3 +82,10 @@ def calendar_columns(date) -> dict[str, Column]:
         "Is_Winter": month.isin(12, 1, 2).cast("int"),
     })
     return cols
+
+
+def calendar_names() -> list[str]:
+    """Names of the calendar features."""
+    return ["Month", "Quarter", "Year", "DayOfYear", "WeekOfYear", *[f"Is_Q{q}" for q in range(1, 5)],
+            *[f"{unit}_{wave}" for unit in ("Month", "Quarter", "Week") for wave in ("Sin", "Cos")],
+            "Near_Holiday", "Is_Summer", "Is_Winter"]

@@ -17,3 +17,11 @@ def row_literals(one_row: DataFrame) -> dict[str, Column]:
     types = dict(one_row.dtypes)
     return {c: F.lit(r[c]).cast(types[c]) if r is not None else F.lit(None).cast(types[c])
             for c in one_row.columns}
+
+
+def zero_for_null(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Nulls of ``columns`` as 0 in the column's own type (text: "0")."""
+    types = dict(df.dtypes)
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(types[c])) for c in columns
+                           if types[c] == "string" or types[c] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+                           or types[c].startswith("decimal")})

@@ -2,18 +2,26 @@
 
 M10 is this library's own deterministic forecast (the rolling mean of the
 previous four weeks); it gives every report and drift operator a prediction
-column that the SQL oracle can recompute exactly.  MLlib forecasts (models.py)
-produce the same table shape.
+column that the SQL oracle can recompute exactly.  ``month_ahead_model`` (M8) scores
+the next month with a fitted MLlib model; it produces the same table shape.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.calendar import month_fridays, year_month
 from tidewell.functions.keys import series_keys
-from tidewell.operators.features import add_series_features
+from tidewell.functions.scalars import zero_for_null
+from tidewell.operators.features import LAGS, ROLL_WINDOWS, add_series_features, align_to, transform
+from tidewell.operators.models import ForecastModel, predict, predict_with_interval
+from tidewell.operators.reconcile import months_without_rows
+from tidewell.session import cut_lineage
+
+TAIL = max(LAGS + ROLL_WINDOWS)
 
 PREDICTION_COLUMNS = ["Store", "Product", "Date", "Demand", "Predicted", "CI_Lower", "CI_Upper",
                       "Abs_Error", "Error_Pct", "month"]
@@ -71,10 +79,69 @@ def future_scaffold(history: DataFrame, target_month: str | F.Column) -> DataFra
         from tidewell.functions.scalars import row_literals
         rows = rows.withColumns(row_literals(history.agg(
             F.max_by(F.struct(*extra), F.struct("Date", *keys, "Demand")).alias("_row")).select("_row.*")))
-        rows = rows.fillna(0, subset=extra)
+        rows = zero_for_null(rows, extra)
     return rows
 
 
+def series_tail(history: DataFrame, rows: int = TAIL) -> DataFrame:
+    """The last ``rows`` rows of each series: all that the features of later weeks read."""
+    newest = Window.partitionBy(*series_keys(history)).orderBy(F.desc("Date"))
+    return history.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= rows).drop("_n")
+
+
+def _score(rows: DataFrame, model: ForecastModel) -> DataFrame:
+    """Rows with ``Predicted`` and interval: aligned to the model's feature list (P10), trees'
+    deviation where the model has a forest (M4), else +-15 % (M4b)."""
+    ready = align_to(rows, model.features)
+    if model.forest is not None:
+        return predict_with_interval(model.pipeline, model.forest, ready)
+    return predict(model.pipeline, ready).withColumns({"CI_Lower": F.col("Predicted") * 0.85,
+                                                       "CI_Upper": F.col("Predicted") * 1.15})
+
+
+def month_ahead_model(history: DataFrame, model: ForecastModel, target_month: str,
+                      recursive: bool = True) -> DataFrame:
+    """Forecast of ``target_month`` by a fitted model (M8).
+
+    Where the history has no row of that month (J12), its weeks come from the scaffold. They
+    are scored in date order: week k's lags and rolling statistics read the forecasts of the
+    weeks before it (at most five passes over the last twelve rows of each series, the same
+    feature code as in training). ``recursive=False`` scores all weeks at once with unknown
+    demand read as 0. A month the history already has rows for is scored on those rows.
+
+    Returns series keys, Date, month, ``Predicted_Demand``, ``CI_Lower``, ``CI_Upper``."""
+    spark = history.sparkSession
+    keys = series_keys(history)
+    history = history.select(*[c for c in history.columns if c.lower() != "month"])
+    asked = spark.createDataFrame([(target_month,)], "month string")
+    of_month = year_month("Date") == target_month
+
+    def features_of(rows):
+        return transform(rows, model.state, keep_unknown=True)[0]
+
+    if not months_without_rows(asked, history).count():
+        scored = _score(features_of(history.fillna(0, subset=["Demand"])).where(of_month), model)
+    else:
+        known = cut_lineage(series_tail(history))
+        scaffold = cut_lineage(future_scaffold(history, target_month))
+        if not recursive:
+            both = known.unionByName(scaffold.withColumn("Demand", F.lit(0.0)))
+            scored = _score(features_of(both).where(of_month), model)
+        else:
+            weeks = sorted(r["Date"] for r in scaffold.select("Date").distinct().collect())   # at most five
+            done = []
+            for week in weeks:
+                feats = features_of(known.unionByName(scaffold.where(F.col("Date") == week)))
+                feats = _score(feats.where(F.col("Date") == week), model)
+                done.append(cut_lineage(feats.select(*history.columns, "Predicted", "CI_Lower", "CI_Upper")))
+                known = known.unionByName(done[-1].withColumn("Demand", F.col("Predicted")).select(*history.columns))
+            scored = reduce(DataFrame.unionByName, done) if done else scaffold.withColumns(
+                {c: F.lit(None).cast("double") for c in ("Predicted", "CI_Lower", "CI_Upper")})
+    return scored.select(*keys, "Date", year_month("Date").alias("month"),
+                         F.round("Predicted", 2).alias("Predicted_Demand"),
+                         F.round("CI_Lower", 2).alias("CI_Lower"), F.round("CI_Upper", 2).alias("CI_Upper"))
+
+
 def month_ahead_naive(weekly: DataFrame, target_months_from: str) -> DataFrame:
     """Naive forecasts for every month from ``target_months_from`` on, each made
     from the history strictly before that month (the reconcile cycle, M8 with M10).

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.scalars import row_literals
 from tidewell.operators.analysis import display_label
 
 EPS = 1e-9
@@ -22,8 +23,12 @@ def complete_pairs(pred: DataFrame) -> DataFrame:
 
 
 def slice_rows(pred: DataFrame, months=None, stores=None, products=None) -> DataFrame:
-    """Optional month / store / product slicers."""
-    if months:
+    """Optional month / store / product slicers (P13). ``months`` is a list, whose filter
+    prunes the partitions of a month-partitioned table when it is planned, or a DataFrame with
+    a ``month`` column (the months of a severity, say), by which Spark prunes them at run time."""
+    if isinstance(months, DataFrame):
+        pred = pred.join(months.select("month").distinct(), "month", "left_semi")
+    elif months:
         pred = pred.where(F.col("month").isin(list(months)))
     if stores:
         pred = pred.where(F.col("Store").isin(list(stores)))
@@ -107,6 +112,49 @@ def store_drift(pred: DataFrame) -> DataFrame:
     return _r2(agg.withColumn("error_pct", F.col("mae") / (F.abs(F.col("avg_demand")) + EPS) * 100))
 
 
+# Levels of ``grouped_reports``: the keys each report groups by.
+REPORT_LEVELS = {"product_forecast": ("Product",), "product_monthly": ("month", "Product"),
+                 "store_product_forecast": ("Store", "Product"), "store_monthly": ("month", "Store"),
+                 "store_drift": ("Store", "month")}
+_KEYS = ("Store", "Product", "month")
+
+
+def grouped_reports(pred: DataFrame) -> DataFrame:
+    """The aggregates of A11-A15 in one pass: grouping sets of (Store, Product, month) with
+    partial aggregation and one exchange. ``level`` names the grouping's keys, joined by "+";
+    ``report_of`` reads one report off the result."""
+    sets = sorted({tuple(k for k in _KEYS if k in keys) for keys in REPORT_LEVELS.values()})
+    out = complete_pairs(pred).groupingSets([[F.col(k) for k in s] for s in sets], *_KEYS).agg(
+        F.grouping_id(*_KEYS).alias("gid"),
+        F.avg("Demand").alias("avg_demand"), F.avg("Predicted").alias("avg_predicted"),
+        F.avg(_abs_err()).alias("mae"), F.avg(_err_pct()).alias("mape"),
+        F.sum("Demand").alias("total_demand"), F.count("Demand").alias("count"))
+    name = F.coalesce(*[F.when(F.col("gid") == _grouping_id(s), "+".join(s)) for s in sets])
+    return out.withColumn("level", name).drop("gid")
+
+
+def _grouping_id(kept: tuple[str, ...]) -> int:
+    return sum(1 << i for i, k in enumerate(reversed(_KEYS)) if k not in kept)
+
+
+def report_of(grouped: DataFrame, report: str) -> DataFrame:
+    """One of the reports of ``REPORT_LEVELS`` from the result of ``grouped_reports``."""
+    keys = REPORT_LEVELS[report]
+    rows = grouped.where(F.col("level") == "+".join(k for k in _KEYS if k in keys))
+    accuracy = F.least(F.greatest(100 - F.col("mape"), F.lit(0.0)), F.lit(100.0)).alias("accuracy")
+    label = display_label("Product", "Product").alias("name") if "Product" in keys else None
+    if report in ("product_forecast", "store_product_forecast"):
+        totals = ["total_demand"] if report == "product_forecast" else []
+        rows = rows.select(*keys, "avg_demand", "avg_predicted", "mae", "mape", *totals, "count", label, accuracy)
+    elif report == "store_drift":
+        rows = rows.select(*keys, "mae", "avg_demand", "avg_predicted", "count",
+                           (F.col("mae") / (F.abs(F.col("avg_demand")) + EPS) * 100).alias("error_pct"))
+    else:
+        rows = rows.select(*keys, F.col("avg_demand").alias("demand"), F.col("avg_predicted").alias("predicted"),
+                           *([label] if label is not None else []))
+    return _r2(rows)
+
+
 def test_metrics(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     """MAE, RMSE, MAPE, WMAPE, R² (100 without variance), accuracy, n.
 
@@ -222,9 +270,9 @@ def store_mae_by_month(store_drift_rows: DataFrame, store: str | None = None) ->
 
 
 def demand_share(totals: DataFrame, key: str = "Product") -> DataFrame:
-    """Share of total demand in %, 1 decimal (A39); the total is a window over the key-level table."""
-    return totals.select(key, "demand",
-                         F.round(F.col("demand") / F.sum("demand").over(Window.partitionBy()) * 100, 1).alias("pct"))
+    """Share of total demand in %, 1 decimal (A39); the total is one row, attached as a literal."""
+    total = row_literals(totals.agg(F.sum("demand").alias("total")))["total"]
+    return totals.select(key, "demand", F.round(F.col("demand") / total * 100, 1).alias("pct"))
 
 
 def heatmap(product_month: DataFrame) -> DataFrame:
@@ -275,10 +323,25 @@ def store_stats_fallback(history: DataFrame, batches: DataFrame) -> DataFrame:
     g = batches.agg(F.coalesce(F.avg(F.abs(F.coalesce("mean_actual", F.lit(0.0)) -
                                            F.coalesce("mean_pred", F.lit(0.0)))), F.lit(0.0)).alias("mae"))
     s = history.groupBy("Store").agg(F.avg("Demand").alias("avg_sales"), F.count("Demand").alias("count"))
-    from tidewell.functions.scalars import row_literals
     return _r2(s.withColumns(row_literals(g)))
 
 
+def dataset_summary(demand: DataFrame, train_years: list[int], test_year: int, batches: DataFrame) -> DataFrame:
+    """One row (A27): size, stores and range of the data, split sizes, and ``monthly_avg``, the
+    months' mean actual and prediction (``batch_summary``, a row per month) in order."""
+    y = F.year("Date")
+    months = row_literals(batches.agg(F.array_sort(F.collect_list(F.struct("month", "mean_actual", "mean_pred")))
+                                      .alias("monthly_avg")).select(F.to_json("monthly_avg").alias("j")))["j"]
+    out = demand.agg(F.count(F.lit(1)).alias("rows"),
+                     (F.count_distinct("Store") if "Store" in demand.columns else F.lit(0).cast("long")).alias("stores"),
+                     F.min("Date").alias("date_min"), F.max("Date").alias("date_max"),
+                     F.round(F.avg("Demand"), 4).alias("demand_mean"), F.min("Demand").alias("demand_min"),
+                     F.max("Demand").alias("demand_max"),
+                     F.count_if(y.isin(train_years)).alias("train_rows"), F.count_if(y == test_year).alias("test_rows"))
+    return out.withColumn("monthly_avg", F.from_json(
+        months, "array<struct<month:string,mean_actual:double,mean_pred:double>>"))
+
+
 def sanitize(df: DataFrame) -> DataFrame:
     """NaN and +-Infinity in double columns become null."""
     bad = lambda c: F.isnan(c) | (F.abs(F.col(c)) == float("inf"))

@@ -48,6 +48,13 @@ def weekly_rollup_int_ids(raw2: DataFrame, rule: str = "closed") -> DataFrame:
                     "Demand"))
 
 
+def submission_rows(raw: DataFrame) -> DataFrame:
+    """Rows to be forecast in the second layout (id, date, store, item) as submission input
+    (S15): integer ids, day-first date text; O1's order is left to the writer."""
+    return raw.select(F.col("id").cast("int").alias("id"), F.date_format("date", "dd-MM-yyyy").alias("Date"),
+                      F.col("store").cast("int").alias("Store"), F.col("item").cast("int").alias("Product"))
+
+
 def id_suffix(col) -> F.Column:
     """Numeric suffix of an id such as ``store_12``."""
     c = F.col(col) if isinstance(col, str) else col

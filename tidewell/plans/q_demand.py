@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.functions.calendar import week_end
 from tidewell.operators import analysis, split, weekly
 from tidewell.plans import base
 from tidewell.plans.registry import query
 from tidewell.plans.sqlbase import (BASE, BASE_SPLIT, DEMAND_SQL, R, week_strict, with_ctes, ym)
-from tidewell.sources.tables import RAW_DAILY_SQL, raw_daily, raw_daily_layout2
+from tidewell.sources.tables import RAW_DAILY_SQL, raw_daily, raw_daily_layout2, raw_submission
 
 
 @query("weekly_rollup_closed", with_ctes(*BASE) + """
@@ -17,16 +18,18 @@ def q_weekly_closed(spark, sf):
     return base.demand(spark, sf)
 
 
-@query("weekly_rollup_strict", with_ctes(RAW_DAILY_SQL) + f"""
+@query("weekly_rollup_strict", with_ctes(*BASE_SPLIT) + f""",
+ceiling AS (SELECT max(y) AS y FROM years WHERE yr <= 4)
 SELECT wk AS Date, store_id AS Store, item_id AS Product,
        CAST(sum(sales) AS DOUBLE) AS Demand, {R('avg(price)', 2)} AS Price,
        CAST(max(promo) AS INTEGER) AS Promo
-FROM (SELECT *, {week_strict('date')} AS wk FROM raw_daily WHERE year(date) <= 1998) t
-WHERE year(wk) <= 1998
-GROUP BY 1, 2, 3""", ids="A1 P1 F6")
+FROM (SELECT *, {week_strict('date')} AS wk FROM raw_daily WHERE year(date) <= (SELECT y FROM ceiling)) t
+WHERE year(wk) <= (SELECT y FROM ceiling)
+GROUP BY 1, 2, 3""", ids="A1 P1")
 def q_weekly_strict(spark, sf):
-    # The prepared history ends with the year 1998 (later years play later uploads)
-    return weekly.weekly_rollup(raw_daily(spark, sf, until="1999-01-01"), rule="strict", year_ceiling=1998)
+    # The prepared history ends with the test year (later years play later uploads)
+    _, last = split.split_years(raw_daily(spark, sf).select(week_end("date", "closed").alias("Date")))
+    return weekly.weekly_rollup(raw_daily(spark, sf, until=f"{last + 1}-01-01"), rule="strict", year_ceiling=last)
 
 
 @query("weekly_int_ids", with_ctes(RAW_DAILY_SQL) + f"""
@@ -40,6 +43,15 @@ def q_weekly_int_ids(spark, sf):
     return weekly.weekly_rollup_int_ids(raw_daily_layout2(spark, sf), rule="closed")
 
 
+@query("submission_input", with_ctes(RAW_DAILY_SQL) + """
+SELECT CAST(l_orderkey * 8 + l_linenumber AS INTEGER) AS id, strftime(CAST(l_shipdate AS DATE), '%d-%m-%Y') AS Date,
+       CAST(n_regionkey AS INTEGER) AS Store, CAST(replace(p_brand, 'Brand#', '') AS INTEGER) AS Product
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+JOIN nation ON s_nationkey = n_nationkey""", ids="S15")
+def q_submission_input(spark, sf):
+    return weekly.submission_rows(raw_submission(spark, sf))
+
+
 @query("prepared_file", with_ctes(*BASE) + """
 SELECT strftime(Date, '%d-%m-%Y') AS Date,
        'store_' || CAST(CAST(split_part(Store, '_', -1) AS INTEGER) AS VARCHAR) AS Store,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.calendar import year_month
 from tidewell.operators import drift, features as fe, reports, split
+from tidewell.operators.families import feature_families, feature_family_sql
 from tidewell.plans import base
 from tidewell.plans.q_features import CAL_TRIG, LAG_COLS, MOM_COLS, ROLL_COLS, _GROUP_EXPR, _INTER, _STATS_CTES
 from tidewell.plans.registry import query
@@ -378,29 +379,16 @@ def q_importance_thresholds(spark, sf):
                       .otherwise(1.0).alias("factor"))
 
 
-_FAMILY_SQL = """CASE WHEN starts_with(feature, 'Lag_') THEN 'Lag'
-     WHEN starts_with(feature, 'Rolling_') OR starts_with(feature, 'Momentum_') OR starts_with(feature, 'Volatility_')
-          THEN 'Rolling'
-     WHEN feature IN ('Year','Month','Week','Quarter','DayOfYear','Season','Is_Year_End','Is_Year_Start','Is_Q4',
-                      'Near_Holiday','Week_Sin','Week_Cos','Month_Sin','Month_Cos') OR starts_with(feature, 'Weeks_To_')
-          THEN 'Temporal'
-     WHEN starts_with(feature, 'Store_') OR starts_with(feature, 'Product_') OR starts_with(feature, 'Demand_vs_')
-          THEN 'Product Stats'
-     WHEN contains(feature, '_x_') THEN 'Interaction'
-     ELSE 'Raw Inputs' END"""
-
-
 @query("feature_families", DRIFT + """,
 imp AS (UNPIVOT (SELECT """ + ", ".join(f"coalesce(abs(corr({c}, Demand)), 0.0) AS {c}" for c in FEATURES) + """
                  FROM base_rows) ON """ + ", ".join(FEATURES) + """ INTO NAME feature VALUE raw),
-fam AS (SELECT feature, """ + R("raw", 6) + """ AS importance, """ + _FAMILY_SQL + """ AS family FROM imp)
+fam AS (SELECT feature, """ + R("raw", 6) + """ AS importance, """ + feature_family_sql("feature") + """ AS family FROM imp)
 SELECT feature, family, importance,
        """ + R("sum(importance) OVER (PARTITION BY family) / greatest(sum(importance) OVER (), 1e-300)", 4) + """ AS family_share,
        CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank,
        CAST(row_number() OVER (PARTITION BY family ORDER BY importance DESC, feature) AS INTEGER) AS rank_in_family
 FROM fam""", ids="A36 O2 O7 P17")
 def q_feature_families(spark, sf):
-    from tidewell.plans.q_models import feature_families
     baseline, _ = _inputs(spark, sf)
     imp = drift.correlation_importance(baseline, FEATURES).withColumn("importance", F.round("importance", 6))
     return feature_families(imp)

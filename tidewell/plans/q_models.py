@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from tidewell.functions.calendar import shift_month, year_month
 from tidewell.operators import features as fe
-from tidewell.operators import forecast, models, split
+from tidewell.operators import forecast, models, reports, split
+from tidewell.operators.families import feature_families
 from tidewell.plans import base
+from tidewell.plans.q_drift import month_reports
 from tidewell.plans.registry import query
 from tidewell.plans.sqlbase import R
-from tidewell.session import cut_lineage
+from tidewell.session import cut_lineage, ensure_checkpoint_dir
+from tidewell.sources import model_registry, runs
 from tidewell.sources.tables import read_table
 from tidewell.streaming.jobs import windowed_error_trend, windowed_event_values
 
@@ -52,39 +58,56 @@ def q_feature_importance(spark, sf):
     return feature_families(imp)
 
 
-def feature_family(col) -> F.Column:
-    """Feature name -> family label by name pattern."""
-    c = F.col(col) if isinstance(col, str) else col
-    temporal = ["Year", "Month", "Week", "Quarter", "DayOfYear", "Season", "Is_Year_End", "Is_Year_Start",
-                "Is_Q4", "Near_Holiday", "Week_Sin", "Week_Cos", "Month_Sin", "Month_Cos"]
-    return (F.when(c.startswith("Lag_"), "Lag")
-            .when(c.startswith("Rolling_") | c.startswith("Momentum_") | c.startswith("Volatility_"), "Rolling")
-            .when(c.isin(temporal) | c.startswith("Weeks_To_"), "Temporal")
-            .when(c.startswith("Store_") | c.startswith("Product_") | c.startswith("Demand_vs_"), "Product Stats")
-            .when(c.contains("_x_"), "Interaction")
-            .otherwise("Raw Inputs"))
-
-
-def feature_families(imp):
-    """Family totals and share (A36), rank overall (O2) and within the family."""
-    from pyspark.sql import Window
-    fam = imp.withColumn("family", feature_family("feature"))
-    total = F.sum("importance").over(Window.partitionBy())
-    fam_total = F.sum("importance").over(Window.partitionBy("family"))
-    return fam.select("feature", "family", "importance",
-                      F.round(fam_total / F.greatest(total, F.lit(1e-300)), 4).alias("family_share"),
-                      F.row_number().over(Window.orderBy(F.desc("importance"), "feature")).alias("rank"),
-                      F.row_number().over(Window.partitionBy("family").orderBy(F.desc("importance"), "feature"))
-                      .alias("rank_in_family"))
-
-
-@query("heal_decisions", None, ids="M7 M2")
+@query("heal_decisions", None, ids="M7")
 def q_heal_decisions(spark, sf):
-    from tidewell.functions.calendar import year_month
+    """Only the months that the drift report marks are fitted."""
     train, test, names = _train_test(spark, sf)
     model = models.fit_gbt(train, names, **FAST)
     test = cut_lineage(test.withColumn("YearMonth", year_month("Date")))
-    return models.heal_months(model, test, names, FAST, parallelism=6)
+    return models.heal_months(model, test, names, FAST, month_reports(spark, sf), parallelism=6)
+
+
+@query("search_scores", None, ids="M2")
+def q_search_scores(spark, sf):
+    train, _, names = _train_test(spark, sf)
+    grid = {"maxIter": [20, 50], "maxDepth": [2, 3], "stepSize": [0.1, 0.15]}
+    found = models.search(cut_lineage(train), names, n_draws=3, grid=grid, parallelism=6)
+    return models.search_scores(found, spark)
+
+
+def _registered(spark, sf):
+    """History, a registry below the checkpoint folder and a model trained on the first three
+    years, saved there as two versions: without and with the interval forest."""
+    d = base.demand_once(spark, sf)
+    train_years, _ = split.split_years(d)
+    in_train = F.year("Date").isin(train_years)
+    state = fe.fit(d.where(in_train))
+    feats, names = fe.transform(d, state)
+    train, names = cut_lineage(feats.where(in_train)), fe.model_features(names)
+    plain = models.ForecastModel(models.fit_gbt(train, names, **FAST), state, names)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{runs.new_run_id()}"
+    metrics = reports.trainer_metrics(models.predict(plain.pipeline, train)).first().asDict()
+    model_registry.register(spark, root, plain, FAST, metrics)
+    forest = models.fit_forest(train, names)
+    model_registry.register(spark, root, replace(plain, forest=forest), FAST, metrics)
+    return d, root
+
+
+@query("model_versions", None, ids="K8 K7")
+def q_model_versions(spark, sf):
+    _, root = _registered(spark, sf)
+    v = model_registry.versions(spark, root)
+    return v.select("version", "model_type", "params", "metrics", F.size("features").alias("features"),
+                    "has_forest", "is_current")
+
+
+@query("model_month_ahead", None, ids="M8 M4 M5 P10 K7 K8 J12")
+def q_model_month_ahead(spark, sf):
+    """The current version, read back from the registry, forecasts the month after the history."""
+    d, root = _registered(spark, sf)
+    model = model_registry.load(spark, root)
+    target = d.agg(shift_month(year_month(F.max("Date")), 1).alias("t")).first()["t"]
+    return forecast.month_ahead_model(d, model, target)
 
 
 # ── streaming operators on the events table (batch form) ─────────────────

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import analysis, reports
+from tidewell.operators import analysis, forecast, reports, split
 from tidewell.plans import base
 from tidewell.plans.registry import query
-from tidewell.plans.sqlbase import BASE, BASE_PRED, BASE_SPLIT as BASE_SPLIT_, R, with_ctes
+from tidewell.plans.sqlbase import BASE, BASE_PRED, R, with_ctes
+from tidewell.session import cut_lineage, ensure_checkpoint_dir
+from tidewell.sources import runs, sinks
 
 P = with_ctes(*BASE_PRED)
 PAIRS = "(SELECT * FROM preds WHERE Demand IS NOT NULL AND Predicted IS NOT NULL)"
@@ -110,7 +112,7 @@ def q_test_metrics(spark, sf):
     return reports.test_metrics(base.predictions(spark, sf))
 
 
-@query("selection_kpis", _metrics_sql("month"), ids="A30 P13")
+@query("selection_kpis", _metrics_sql("month"), ids="A30")
 def q_selection_kpis(spark, sf):
     return reports.test_metrics(base.predictions(spark, sf), by=["month"])
 
@@ -268,20 +270,80 @@ def q_store_stats_fallback(spark, sf):
                                         reports.batch_summary(base.predictions(spark, sf)))
 
 
-@query("dataset_summary", with_ctes(*BASE_SPLIT_) + f""",
+@query("dataset_summary", P + "," + _BATCH + f""",
 info AS (SELECT max(CASE WHEN yr = CASE WHEN ny > 3 THEN 4 ELSE ny END THEN y END) AS test_year FROM years)
 SELECT count(*) AS rows, count(DISTINCT Store) AS stores, min(Date) AS date_min, max(Date) AS date_max,
        {R('avg(Demand)', 4)} AS demand_mean, min(Demand) AS demand_min, max(Demand) AS demand_max,
        count(*) FILTER (WHERE year(Date) IN (SELECT y FROM years WHERE yr <= 3)) AS train_rows,
-       count(*) FILTER (WHERE year(Date) = (SELECT test_year FROM info)) AS test_rows
+       count(*) FILTER (WHERE year(Date) = (SELECT test_year FROM info)) AS test_rows,
+       (SELECT string_agg(month || ' ' || printf('%.2f', mean_actual) || ' ' || printf('%.2f', mean_pred), '; ' ORDER BY month)
+        FROM batch) AS monthly_avg
 FROM demand""", ids="A27 A3 P4")
 def q_dataset_summary(spark, sf):
-    from tidewell.operators import split
-    d = base.demand(spark, sf)
+    d = base.demand_once(spark, sf)
     train_years, test_year = split.split_years(d)
-    y = F.year("Date")
-    return d.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("Store").alias("stores"),
-                 F.min("Date").alias("date_min"), F.max("Date").alias("date_max"),
-                 F.round(F.avg("Demand"), 4).alias("demand_mean"), F.min("Demand").alias("demand_min"),
-                 F.max("Demand").alias("demand_max"),
-                 F.count_if(y.isin(train_years)).alias("train_rows"), F.count_if(y == test_year).alias("test_rows"))
+    batches = reports.batch_summary(forecast.naive_predictions(d, test_year))
+    text = F.transform("monthly_avg", lambda m: F.format_string("%s %.2f %.2f", m["month"], m["mean_actual"], m["mean_pred"]))
+    return reports.dataset_summary(d, train_years, test_year, batches).withColumn("monthly_avg", F.array_join(text, "; "))
+
+
+_GROUPED = ", ".join(f"({', '.join(k)})" for k in sorted({tuple(k for k in reports._KEYS if k in keys)
+                                                         for keys in reports.REPORT_LEVELS.values()}))
+
+
+@query("grouped_reports", P + f"""
+SELECT Store, Product, month, concat_ws('+', CASE WHEN grouping(Store) = 0 THEN 'Store' END,
+         CASE WHEN grouping(Product) = 0 THEN 'Product' END, CASE WHEN grouping(month) = 0 THEN 'month' END) AS level,
+       {R('avg(Demand)', 2)} AS avg_demand, {R('avg(Predicted)', 2)} AS avg_predicted, {R(f'avg({ERR})', 2)} AS mae,
+       {R(f'avg({PCT})', 2)} AS mape, {R('sum(Demand)', 2)} AS total_demand, count(Demand) AS count
+FROM {PAIRS} t GROUP BY GROUPING SETS ({_GROUPED})""", ids="A11 A12 A13 A14 A15")
+def q_grouped_reports(spark, sf):
+    return reports._r2(reports.grouped_reports(base.predictions(spark, sf)))
+
+
+def _stored_predictions(spark, sf) -> str:
+    """The prediction table written by month below the checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predictions-{runs.new_run_id()}"
+    sinks.write_predictions(base.predictions(spark, sf), path, "run")
+    return path
+
+
+@query("sliced_kpis", P + f""",
+months AS (SELECT month, avg({ERR}) AS e FROM {PAIRS} t GROUP BY month),
+hard AS (SELECT month FROM months WHERE e > (SELECT avg({ERR}) FROM {PAIRS} t)),
+m AS (SELECT Store, avg({ERR}) AS mae, sqrt(avg((Demand - Predicted) * (Demand - Predicted))) AS rmse,
+             avg({PCT}) AS mape, sum({ERR}) / (sum(abs(Demand)) + 1e-9) * 100 AS wmape,
+             sum((Demand - Predicted) * (Demand - Predicted)) AS ss_res,
+             var_pop(Demand) * count(Demand) AS ss_tot, count(*) AS n_rows
+      FROM {PAIRS} t WHERE month IN (SELECT month FROM hard) GROUP BY Store)
+SELECT Store, {R('mae', 4)} AS mae, {R('rmse', 4)} AS rmse, {R('mape', 4)} AS mape, {R('wmape', 4)} AS wmape,
+       n_rows, {R('CASE WHEN ss_tot > 0 THEN (1 - ss_res / ss_tot) * 100 ELSE 100.0 END', 4)} AS r2,
+       {R('greatest(0.0, 100 - mape)', 1)} AS accuracy
+FROM m""", ids="P13 A30")
+def q_sliced_kpis(spark, sf):
+    """KPIs per store over the months whose error is above the run's, read from the stored table."""
+    pred = spark.read.parquet(_stored_predictions(spark, sf))
+    return reports.test_metrics(reports.slice_rows(pred, hard_months(pred)), by=["Store"])
+
+
+def hard_months(pred):
+    """Months whose mean error is above the mean over all rows, as a small stored table."""
+    err = F.abs(F.col("Demand") - F.col("Predicted"))
+    by_month = cut_lineage(reports.complete_pairs(pred).groupBy("month").agg(F.avg(err).alias("e"), F.sum(err).alias("s"),
+                                                                               F.count(F.lit(1)).alias("n")))
+    whole = by_month.agg((F.sum("s") / F.sum("n")).alias("w")).first()["w"]
+    return by_month.where(F.col("e") > F.lit(whole)).select("month")
+
+
+@query("saved_month_summary", P + f"""
+SELECT month, count(*) AS count, {R('avg(Predicted)', 2)} AS mean_predicted FROM preds GROUP BY month""", ids="S16 K10")
+def q_saved_month_summary(spark, sf):
+    """Two published runs and one that never completed: readers see the newest complete one."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forecasts-{runs.new_run_id()}"
+    rows = cut_lineage(base.predictions(spark, sf).select("Store", "Product", "Date", "month",
+                                                          F.col("Predicted").alias("Predicted_Demand")))
+    by = {"forecasts": "month"}
+    runs.publish(spark, root, {"forecasts": rows.withColumn("Predicted_Demand", F.lit(0.0))}, partition_by=by)
+    runs.publish(spark, root, {"forecasts": rows}, partition_by=by, keep=1)
+    runs.write_table(spark, root, runs.new_run_id(), "forecasts", rows.limit(1), "month")
+    return runs.month_summary(runs.read(spark, root, "forecasts"))

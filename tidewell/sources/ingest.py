@@ -1,19 +1,25 @@
 """Messy CSV ingest and schema normalisation (S1-S9, S12, S13, S16; string clean-up F16:
 trim, lower, replace, regex strip of headers and values).
 
-Files are read as text lines so that the repairs the reference makes on raw
-text (BOM, rows wrapped whole in quotes, a single quoted header) happen
-before CSV parsing; parsing is ``from_csv`` per line with the header's
-columns, all JVM-side.  Only the header line and one-row aggregates (failure
-ratios, role profiles) reach the driver.
+Files are read as text so that the repairs of raw text (BOM, rows wrapped whole in
+quotes, a single quoted header, records over several lines) happen before CSV
+parsing; parsing is ``from_csv`` per record, all JVM-side.  Many files of several
+layouts are one scan.  Only the distinct layouts (header lines) and one-row
+aggregates (failure ratios, role profiles) reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.reconcile import dedupe_last, union_sources
+from tidewell.operators.features import few_distinct
+from tidewell.operators.reconcile import dedupe_last
+from tidewell.session import cut_lineage
+from tidewell.sources import runs
 
 BOM = "﻿"
 REQUIRED = ("Date", "Product", "Demand")
@@ -51,54 +57,158 @@ MONTH_FIRST = ["yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "M/d/yy", "yyyy-M
 
 
 # ── S1, S2, S2b ────────────────────────────────────────────────────────────
-def read_csv_messy(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with BOM, padded header names and optionally rows wrapped in quotes; all columns strings."""
-    lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", f"^{BOM}", ""))
-    lines = lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
-    stats = lines.agg(F.sum(F.length("value") - F.length(F.regexp_replace("value", '"', ""))).alias("q"),
-                      F.count(F.lit(1)).alias("n")).first()
-    if (stats["q"] or 0) > stats["n"]:
-        # Rows wrapped whole in quotes
-        lines = lines.withColumn("value", F.regexp_replace("value", '^"(.*)"$', "$1"))
-    header_line = lines.first()["value"]
-    names = _split_header(header_line)
-    if len(names) == 1 and "," in names[0]:
-        # One quoted header cell holding commas: drop every quote and re-split
-        lines = lines.withColumn("value", F.regexp_replace("value", '"', ""))
-        header_line = header_line.replace('"', "")
-        names = _split_header(header_line)
-    names = [n.strip().replace(BOM, "") for n in names]
-    schema = ", ".join(f"`_c{i}` STRING" for i in range(len(names)))
-    body = lines.where(F.col("value") != header_line).where(F.length(F.trim("value")) > 0)
-    parsed = body.select(F.from_csv("value", schema).alias("r"))
-    return parsed.select(*[F.col(f"r._c{i}").alias(n) for i, n in enumerate(names)])
+# A whole row as one quoted field (quotes inside doubled), and any row with outer quotes.
+ONE_FIELD = '(?s)^"((?:[^"]|"")*)"$'
+OUTER_QUOTES = '(?s)^"(.*)"$'
+META = ("_file", "_block", "_line")
+
+
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Text lines with their file, the start of their block and their order in it. Lines of a
+    block are read by one task, so (file, block, line) is the order of the file."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), "value")
+    return lines.withColumns({"_line": F.monotonically_increasing_id(),
+                              "value": F.regexp_replace("value", f"^{BOM}|\r$", "")})
+
+
+def _quotes(column: str = "value") -> F.Column:
+    return F.length(column) - F.length(F.replace(F.col(column), F.lit('"'), F.lit("")))
+
+
+def block_stats(lines: DataFrame) -> DataFrame:
+    """Per block of a file: lines, quotes, lines with an odd number of quotes, first line."""
+    return lines.groupBy("_file", "_block").agg(
+        F.count(F.lit(1)).alias("_lines"), F.sum(_quotes()).alias("_quotes"),
+        F.sum(_quotes() % 2).alias("_odd"), F.min_by("value", "_line").alias("_first"))
+
+
+def join_records(lines: DataFrame, stats: DataFrame) -> DataFrame:
+    """Lines to records: a quoted field may hold line breaks.
+
+    A line with an odd number of quotes opens such a field or closes it; the n-th odd line of
+    a file opens where n is odd. The count of odd lines before a block is a prefix sum over the
+    block table (a row per block); inside a block it is a window over that block's lines. Only
+    blocks with an odd line, or inside an open field, take part; lines of other blocks are
+    records as they are."""
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = stats.select("_file", "_block", "_odd", F.coalesce(F.sum("_odd").over(before), F.lit(0)).alias("_before"))
+    broken = blocks.where((F.col("_odd") > 0) | (F.col("_before") % 2 == 1)).drop("_odd")
+    in_block = Window.partitionBy("_file", "_block").orderBy("_line")
+    upto = F.col("_before") + F.sum(_quotes() % 2).over(in_block.rowsBetween(Window.unboundedPreceding, 0))
+    near = lines.join(broken, ["_file", "_block"]).withColumn("_upto", upto)
+    part = (F.col("_upto") % 2 == 1) | (_quotes() % 2 == 1)
+    near = near.withColumn("_record", F.when(part, F.floor((F.col("_upto") + 1) / 2)))
+    pieces = F.array_sort(F.collect_list(F.struct("_block", "_line", "value")))
+    joined = (near.where("_record IS NOT NULL").groupBy("_file", "_record").agg(pieces.alias("_p"))
+              .select("_file", F.col("_p")[0]["_block"].alias("_block"), F.col("_p")[0]["_line"].alias("_line"),
+                      F.array_join(F.transform("_p", lambda p: p["value"]), "\n").alias("value")))
+    whole = near.where("_record IS NULL").select("_file", "_block", "_line", "value")
+    untouched = lines.join(broken, ["_file", "_block"], "left_anti").select("_file", "_block", "_line", "value")
+    return untouched.unionByName(whole).unionByName(joined)
 
 
 def _split_header(line: str) -> list[str]:
-    import csv
     return next(csv.reader([line]))
 
 
+def _repair(header: str, mostly_quoted: bool) -> tuple[str, list[str]]:
+    """(repair of a file's rows, header names): rows wrapped whole in quotes are unwrapped
+    (S2); a single quoted header cell that holds commas means dropping every quote (S2b)."""
+    names = _split_header(header)
+    if len(names) == 1 and "," in names[0]:
+        repair = "unwrap" if mostly_quoted else "drop"
+        names = _split_header(names[0].replace('"', "") if repair == "drop" else names[0])
+    else:
+        repair = "unwrap_fields" if mostly_quoted and len(names) > 1 else "none"
+    return repair, [n.strip().replace(BOM, "") for n in names]
+
+
+def read_messy(spark: SparkSession, paths: str | list[str], rename=lambda names: names, required=()) -> DataFrame:
+    """Files of any number of layouts in one scan: columns (strings) named by ``rename`` from
+    each file's header, absent ones null, and the row's place (``META``). Every layout must
+    hold the ``required`` names.
+
+    One aggregate over the blocks finds every file's header and quoting. The driver sees the
+    distinct (header, quoting) layouts only; a file's layout is joined to its rows, which are
+    parsed once by the widest layout and read by position."""
+    lines = read_lines(spark, paths)
+    stats = cut_lineage(block_stats(lines))
+    files = stats.groupBy("_file").agg(
+        F.min_by("_first", "_block").alias("_header"),
+        (F.sum("_quotes") > F.sum("_lines")).alias("_quoted"), F.sum("_odd").alias("_odd"))
+    layouts = [tuple(r) for r in files.select("_header", "_quoted").distinct().orderBy("_header", "_quoted").collect()]
+    if not layouts:
+        raise ValueError(f"nothing to read in {paths}")
+    repairs = [_repair(h, q) for h, q in layouts]
+    names = [rename(n) for _, n in repairs]
+    for own in names:
+        require_columns(own, required)
+    rows = lines
+    if stats.where(F.col("_odd") > 0).limit(1).count():
+        rows = join_records(lines, stats)
+    layout = F.coalesce(*[F.when((F.col("_header") == h) & (F.col("_quoted") == q), i) for i, (h, q) in enumerate(layouts)])
+    rows = (rows.join(files.select("_file", "_header", layout.alias("_layout")), "_file")
+            .where((F.col("value") != F.col("_header")) & (F.length(F.trim("value")) > 0)))
+
+    def of_kind(kind):
+        return F.col("_layout").isin([i for i, (r, _) in enumerate(repairs) if r == kind])
+    v = F.col("value")
+    unwrapped = F.replace(F.regexp_replace(v, OUTER_QUOTES, "$1"), F.lit('""'), F.lit('"'))
+    clean = (F.when(of_kind("unwrap") & v.rlike(OUTER_QUOTES), unwrapped)
+             .when(of_kind("unwrap_fields") & v.rlike(ONE_FIELD) & v.contains(","), unwrapped)
+             .when(of_kind("drop"), F.replace(v, F.lit('"'), F.lit(""))).otherwise(v))
+    width = max(len(n) for n in names)
+    schema = ", ".join(f"_c{i} STRING" for i in range(width))
+    parsed = rows.select(*META, "_layout", F.from_csv(clean, schema, {"escape": '"'}).alias("_r"))
+    out: dict[str, list] = {}
+    for i, own in enumerate(names):
+        for k, name in enumerate(own):
+            out.setdefault(name, []).append((i, k))
+
+    def value_of(places):
+        if len(layouts) == 1:
+            return F.col(f"_r._c{places[0][1]}")
+        return F.coalesce(*[F.when(F.col("_layout") == i, F.col(f"_r._c{k}")) for i, k in places])
+    return parsed.select(*META, *[value_of(p).alias(n) for n, p in out.items()])
+
+
+def read_csv_messy(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with BOM, padded header names, line breaks in quotes and optionally rows wrapped in
+    quotes; all columns strings, named as in the header."""
+    return read_messy(spark, path).drop(*META)
+
+
 # ── S3, S3b, S3c, S4 ───────────────────────────────────────────────────────
+def canonical_names(names: list[str], aliases: dict[str, str] = ALIASES, dash: bool = False) -> list[str]:
+    """Header names with aliases replaced, unless the canonical name is there already."""
+    out, taken = [], set(names)
+    for name in names:
+        key = name.strip().lower().replace(" ", "_")
+        target = aliases.get(key.replace("-", "_") if dash else key)
+        if target and target not in taken:
+            taken.add(target)
+            out.append(target)
+        else:
+            out.append(name)
+    return out
+
+
 def normalise_columns(df: DataFrame, aliases: dict[str, str] = ALIASES, dash: bool = False) -> DataFrame:
     """Rename alias columns to canonical names unless the canonical one exists."""
-    present = set(df.columns)
-    rename = {}
-    for c in df.columns:
-        key = c.strip().lower().replace(" ", "_")
-        if dash:
-            key = key.replace("-", "_")
-        target = aliases.get(key)
-        if target and target not in present and target not in rename.values() and c != target:
-            rename[c] = target
-    return df.withColumnsRenamed(rename) if rename else df
+    return df.toDF(*canonical_names(df.columns, aliases, dash))
 
 
-def require_columns(df: DataFrame, required=REQUIRED) -> None:
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"Missing required columns: {missing}. Need Date, Product and Demand "
-                         f"(aliases: Sales/Weekly_Sales -> Demand, Item/Category -> Product). Got: {df.columns}")
+def report_columns(df: DataFrame) -> DataFrame:
+    """A stored prediction table under report names (S3c): actual, prediction."""
+    return normalise_columns(df, REPORT_ALIASES)
+
+
+def require_columns(names: list[str], required=REQUIRED) -> None:
+    absent = [c for c in required if c not in names]
+    if absent:
+        raise ValueError(f"no column for {', '.join(absent)} among {', '.join(names)}; a demand file names "
+                         f"{', '.join(required)} or one of their aliases")
 
 
 # ── S5, S5b, S6, S7 ────────────────────────────────────────────────────────
@@ -107,33 +217,40 @@ def _parse(col: str, formats: list[str]) -> F.Column:
     return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in formats])
 
 
-def parse_dates(df: DataFrame, col: str = "Date") -> DataFrame:
-    """Day-first parse; if more than half fails, the default parse; unparseable rows dropped."""
-    first = _parse(col, DAY_FIRST)
-    r = df.agg(F.count_if(first.isNull()).alias("bad"), F.count(F.lit(1)).alias("n")).first()
-    parsed = first if r["bad"] <= 0.5 * r["n"] else _parse(col, MONTH_FIRST)
-    return df.withColumn(col, parsed).where(F.col(col).isNotNull())
-
-
-def parse_dates_strict(df: DataFrame, col: str = "Date") -> DataFrame:
-    """Day-first, then ISO, then US; every value must parse."""
-    c = F.trim(F.col(col).cast("string"))
-    parsed = F.coalesce(_parse(col, DAY_FIRST), F.to_date(F.try_to_timestamp(c, F.lit("yyyy-MM-dd"))),
-                        F.to_date(F.try_to_timestamp(c, F.lit("MM/dd/yyyy"))))
-    out = df.withColumn(col, parsed)
-    if out.where(F.col(col).isNull()).limit(1).count():
-        raise ValueError("Some dates could not be parsed. Check date format.")
+def parse_dates(df: DataFrame, col: str = "Date", file_col: str | None = None) -> DataFrame:
+    """Day-first parse; where more than half of a file's rows (or of all rows, without
+    ``file_col``) fail, the default parse; unparseable rows dropped (S5)."""
+    first, other = _parse(col, DAY_FIRST), _parse(col, MONTH_FIRST)
+    bad = (F.count_if(first.isNull()) > 0.5 * F.count(F.lit(1))).alias("_other")
+    if file_col is None:
+        parsed = other if df.agg(bad).first()["_other"] else first
+        return df.withColumn(col, parsed).where(F.col(col).isNotNull())
+    files = df.groupBy(file_col).agg(bad)
+    return (df.join(files, file_col).withColumn(col, F.when(F.col("_other"), other).otherwise(first))
+            .drop("_other").where(F.col(col).isNotNull()))
+
+
+def _number(col: str) -> F.Column:
+    return F.expr(f"try_cast(trim(`{col}`) AS DOUBLE)")
+
+
+def parse_strict(df: DataFrame) -> DataFrame:
+    """Dates day-first, then ISO, then US, and numeric Demand; every value must parse and every
+    row name a product (S5b, S6 strict). One pass finds all faults of an upload."""
+    c = F.trim(F.col("Date").cast("string"))
+    date = F.coalesce(_parse("Date", DAY_FIRST), F.to_date(F.try_to_timestamp(c, F.lit("yyyy-MM-dd"))),
+                      F.to_date(F.try_to_timestamp(c, F.lit("MM/dd/yyyy"))))
+    out = df.withColumns({"Date": date, "Demand": _number("Demand")})
+    r = out.agg(*[F.count_if(F.col(k).isNull()).alias(k) for k in REQUIRED]).first()
+    faults = [f"{r[k]} rows without a usable {k}" for k in REQUIRED if r[k]]
+    if faults:
+        raise ValueError("upload rejected: " + ", ".join(faults))
     return out
 
 
-def coerce_numeric(df: DataFrame, col: str = "Demand", strict: bool = False) -> DataFrame:
-    """``try_cast`` to double; bad rows dropped, or an error when ``strict``."""
-    out = df.withColumn(col, F.expr(f"try_cast(trim(`{col}`) AS DOUBLE)"))
-    if strict:
-        if out.where(F.col(col).isNull()).limit(1).count():
-            raise ValueError(f"{col} column contains non-numeric values")
-        return out
-    return out.where(F.col(col).isNotNull())
+def coerce_numeric(df: DataFrame, col: str = "Demand") -> DataFrame:
+    """``try_cast`` to double; rows that are no number are dropped."""
+    return df.withColumn(col, _number(col)).where(F.col(col).isNotNull())
 
 
 def cast_keys(df: DataFrame) -> DataFrame:
@@ -141,62 +258,76 @@ def cast_keys(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.col(k).cast("string") for k in ("Store", "Product") if k in df.columns})
 
 
-def infer_numeric(df: DataFrame, skip=("Date", "Store", "Product")) -> DataFrame:
+def infer_numeric(df: DataFrame, skip=("Date", "Store", "Product", *META)) -> DataFrame:
     """Cast string columns whose every non-empty value is a number to double (one aggregate)."""
     cand = [c for c, t in df.dtypes if t == "string" and c not in skip]
     if not cand:
         return df
-    r = df.agg(*[F.count_if(F.col(c).isNotNull() & (F.trim(c) != "") &
-                            F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)").isNull()).alias(c) for c in cand]).first()
-    return df.withColumns({c: F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)") for c in cand if r[c] == 0})
+    r = df.agg(*[F.count_if((F.trim(c) != "") & _number(c).isNull()).alias(c) for c in cand]).first()
+    return df.withColumns({c: _number(c) for c in cand if r[c] == 0})
 
 
 # ── S8 ─────────────────────────────────────────────────────────────────────
 def profile_roles(df: DataFrame) -> dict:
     """Loader roles: numeric columns with <= 10 distinct values and < 1 % of rows are
-    categorical; strings with < 50 distinct values are categorical (one aggregate)."""
+    categorical; strings with < 50 distinct values are categorical (``few_distinct``)."""
     skip = {"Date", "Demand", "Store", "Product"}
-    cols = [c for c in df.columns if c not in skip]
-    types = dict(df.dtypes)
-    r = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_distinct(c).alias(c) for c in cols]).first()
-    numeric, categorical = [], []
-    for c in cols:
-        if types[c] in ("int", "bigint", "double", "float", "smallint"):
-            (categorical if r[c] <= 10 and r[c] < r["_n"] * 0.01 else numeric).append(c)
-        elif types[c] == "string" and r[c] < 50:
-            categorical.append(c)
+    types = {c: t for c, t in df.dtypes if c not in skip}
+    numbers = [c for c, t in types.items() if t in ("int", "bigint", "double", "float", "smallint")]
+    strings = [c for c, t in types.items() if t == "string"]
+    rows, few = few_distinct(df, {**dict.fromkeys(numbers, 11), **dict.fromkeys(strings, 50)})
+    # few of the rows: with at least 1,100 rows ten values are always under 1 %
+    scarce = few & set(numbers)
+    if rows < 1100 and scarce:
+        scarce = {c for c in scarce if df.select(c).where(F.col(c).isNotNull()).distinct().limit(11).count() < 0.01 * rows}
+    categorical = [c for c in types if c in scarce or (c in strings and c in few)]
     return {"target": "Demand", "date": "Date", "has_store": "Store" in df.columns,
             "has_product": "Product" in df.columns, "has_holiday": "Holiday_Flag" in df.columns,
-            "numeric_features": numeric, "categorical_features": categorical}
+            "numeric_features": [c for c in numbers if c not in scarce], "categorical_features": categorical}
 
 
 # ── the loaders ────────────────────────────────────────────────────────────
+def load_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Demand files of any layouts, each repaired and parsed by its own header, quoting and date
+    order, in one scan (S1-S7); with the row's place (``META``)."""
+    df = parse_dates(read_messy(spark, paths, canonical_names, REQUIRED), file_col="_file")
+    return infer_numeric(cast_keys(coerce_numeric(df, "Demand")))
+
+
 def load_demand(spark: SparkSession, path: str) -> DataFrame:
     """The main loader: S1-S7 in the reference's order."""
-    df = normalise_columns(read_csv_messy(spark, path))
-    require_columns(df)
-    df = parse_dates(df)
-    df = coerce_numeric(df, "Demand")
-    return infer_numeric(cast_keys(df))
+    return load_files(spark, path).drop(*META)
 
 
 def load_actuals(spark: SparkSession, path: str) -> DataFrame:
     """The actuals upload: wider aliases, strict parsing (S3b, S5b, S6 strict)."""
-    df = normalise_columns(read_csv_messy(spark, path), ACTUALS_ALIASES, dash=True)
-    require_columns(df)
-    df = parse_dates_strict(df)
-    df = coerce_numeric(df, "Demand", strict=True)
-    if df.where(F.col("Product").isNull()).limit(1).count():
-        raise ValueError("Product column contains missing values")
-    return infer_numeric(cast_keys(df))
+    df = read_messy(spark, path, lambda names: canonical_names(names, ACTUALS_ALIASES, dash=True),
+                    REQUIRED).drop(*META)
+    return infer_numeric(cast_keys(parse_strict(df)))
+
+
+def _uri(spark: SparkSession, path: str) -> str:
+    """A path as Spark's file metadata names it, without the slashes after the scheme."""
+    fs, p = runs._path(spark, path)
+    return _plain(fs.makeQualified(p).toUri().toString())
+
+
+def _plain(uri: str) -> str:
+    return re.sub("^[A-Za-z0-9+.-]+:/+", "/", uri)
 
 
 def load_history(spark: SparkSession, base_path: str, upload_paths: list[str]) -> DataFrame:
-    """Base file plus the uploads in name order; the last source wins per key."""
-    frames = [load_demand(spark, base_path)] + [load_demand(spark, p) for p in sorted(upload_paths)]
-    u = union_sources(frames)
-    keys = [k for k in ("Store", "Product") if k in u.columns] + ["Date"]
-    return dedupe_last(u, keys, order=("source_seq", "row_seq")).drop("source_seq", "row_seq")
+    """Base file plus the uploads in name order; the last source wins per key.
+
+    One scan for all files, however many: the base file ranks first, an upload ranks by its
+    file name, and inside a file the row order decides."""
+    df = load_files(spark, [base_path, *upload_paths])
+    base = _uri(spark, base_path).rstrip("/")
+    path = F.regexp_replace("_file", "^[A-Za-z0-9+.-]+:/+", "/")
+    later = ~((path == base) | path.startswith(base + "/"))
+    df = df.withColumns({"_later": later, "_name": F.element_at(F.split("_file", "/"), -1)})
+    keys = [k for k in ("Store", "Product") if k in df.columns] + ["Date"]
+    return dedupe_last(df, keys, order=("_later", "_name", *META)).drop("_later", "_name", *META)
 
 
 # ── S10-S13, S16 on Parquet tables ─────────────────────────────────────────

@@ -13,19 +13,25 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.sources import runs
 
-FILES_PER_MONTH = 16
 
+def by_month_parts(df: DataFrame, month_col: str = "month") -> DataFrame:
+    """Deal rows by month in parts of about the advisory partition size: AQE splits a large
+    month over as many tasks as its bytes need and lets one task write several small months."""
+    return df.hint("rebalance", month_col)
 
-def by_month_parts(df: DataFrame, month_col: str = "month", files: int = FILES_PER_MONTH) -> DataFrame:
-    """Deal rows by month and series, so a month is written by up to ``files`` tasks and a
-    series stays in one file."""
-    series = [k for k in ("Store", "Product") if k in df.columns]
-    return df.repartition(month_col, F.pmod(F.xxhash64(*series), F.lit(files)))
+
+MONITOR_COLUMNS = ["Store", "Product", "Date", "Demand", "Predicted"]
+
+
+def write_monitor_predictions(pred: DataFrame, path: str, run_ts: str) -> None:
+    """The monitor's form of a prediction run (K1b): keys, actual and prediction only."""
+    write_predictions(pred.select(*[c for c in MONITOR_COLUMNS if c in pred.columns], "month"), path, run_ts)
 
 
 def write_predictions(pred: DataFrame, path: str, run_ts: str) -> None:
-    """Per-month prediction rows of one run (K1, K1b): partitioned by month and run,
+    """Per-month prediction rows of one run (K1): partitioned by month and run,
     rows in the canonical Store, Product, Date order inside each file (O1)."""
     series = [k for k in ("Store", "Product") if k in pred.columns]
     (by_month_parts(pred.withColumn("run_ts", F.lit(run_ts)))
@@ -36,7 +42,7 @@ def write_predictions(pred: DataFrame, path: str, run_ts: str) -> None:
 def write_forecast(fc: DataFrame, current_path: str, history_path: str, run_ts: str) -> None:
     """Forecast of a month: the "current" table per month (replaced) plus a timestamped copy (K2)."""
     by_month_parts(fc).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(current_path)
-    fc.withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy("month", "run_ts").parquet(history_path)
+    by_month_parts(fc.withColumn("run_ts", F.lit(run_ts))).write.mode("append").partitionBy("month", "run_ts").parquet(history_path)
 
 
 def append_log(records: DataFrame, path: str) -> None:
@@ -51,10 +57,11 @@ def replace_month_partitions(df: DataFrame, path: str, staging_root: str, month_
     staging path first, then the staged partitions overwrite the target's.
     """
     staging = f"{staging_root.rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").partitionBy(month_col).parquet(staging)
-    staged = df.sparkSession.read.parquet(staging)
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    by_month_parts(df, month_col).write.mode("overwrite").partitionBy(month_col).parquet(staging)
+    staged = df.sparkSession.read.schema(df.schema).parquet(staging)
+    (by_month_parts(staged, month_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(month_col).parquet(path))
+    runs.delete(df.sparkSession, staging)
 
 
 def save_state_tables(tables: dict[str, DataFrame], root: str) -> None:

@@ -60,6 +60,18 @@ def raw_daily_layout2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sales")
 
 
+def raw_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to be forecast in the second raw layout (id, date, store, item): one per sales line."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return (li.join(part, li.l_partkey == part.p_partkey).join(supp, li.l_suppkey == supp.s_suppkey)
+            .join(nation, supp.s_nationkey == nation.n_nationkey)
+            .select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.to_date("l_shipdate").alias("date"),
+                    F.col("n_regionkey").alias("store"), F.regexp_replace("p_brand", "Brand#", "").cast("int").alias("item")))
+
+
 # DuckDB counterpart used by the oracle SQL (a CTE body).
 RAW_DAILY_SQL = """
 raw_daily AS (

@@ -12,29 +12,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.calendar import year_month
+from tidewell.functions.keys import series_keys
+from tidewell.operators.reconcile import dedupe_last
+from tidewell.session import cut_lineage
+from tidewell.sources import runs
+from tidewell.sources.sinks import replace_month_partitions
 
 
 def ingest_actuals_stream(spark: SparkSession, source_dir: str, schema, table_path: str,
-                          checkpoint: str, staging_root: str):
-    """Every new file of actuals replaces its months in the history table (K5 per batch).
+                          checkpoint: str, staging_root: str, file_format: str = "parquet",
+                          max_files: int | None = None):
+    """Uploaded files of actuals replace their months in the history table (K5).
+
+    A month's content is the newest upload that holds it (by modification time, then path),
+    however the files fall into micro-batches and in whatever order they arrive. The stream's
+    ledger of (month, modification time, file), kept next to its checkpoint, says which upload
+    a month holds: a batch replaces a month only by an upload newer than the ledger's. Each
+    batch writes its own ledger partition after the months; a retried batch reads the ledger of
+    earlier batches only, so it decides alike and rewrites the same partitions. Inside a file
+    the last row per series and date wins (A22); rows without a date are dropped. ``Store`` is
+    optional."""
+    stream = spark.readStream.schema(schema).format(file_format)
+    if file_format == "csv":
+        stream = stream.option("header", True)
+    if max_files is not None:
+        stream = stream.option("maxFilesPerTrigger", max_files)
+    stream = stream.load(source_dir).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_mtime"),
+        F.col("_metadata.file_block_start").alias("_block"))
+    ledger_path = f"{checkpoint.rstrip('/')}/month-ledger"
+
+    def upsert(batch: DataFrame, epoch: int) -> None:
+        rows = (batch.where(F.col("Date").isNotNull())
+                .withColumns({"month": year_month("Date"), "_line": F.monotonically_increasing_id()}))
+        claims = rows.groupBy("month").agg(F.max(F.struct("_mtime", "_file")).alias("_claim"))
+        held = read_ledger(spark, ledger_path).where(F.col("epoch") < epoch)
+        held = held.groupBy("month").agg(F.max(F.struct(F.col("mtime").alias("_mtime"), F.col("file").alias("_file"))).alias("_held"))
+        wins = cut_lineage(claims.join(held, "month", "left").where(F.col("_held").isNull() | (F.col("_claim") > F.col("_held")))
+                           .select("month", "_claim._mtime", "_claim._file"))
+        if wins.limit(1).count():
+            newest = rows.join(wins.select("month", "_file"), ["month", "_file"])
+            keys = [*series_keys(newest), "Date"]
+            newest = dedupe_last(newest.drop("_mtime", "_file"), keys, ["_block", "_line"]).drop("_block", "_line")
+            replace_month_partitions(newest, table_path, staging_root)
+        (wins.select("month", F.col("_mtime").alias("mtime"), F.col("_file").alias("file"))
+         .coalesce(1).write.mode("overwrite").parquet(f"{ledger_path}/epoch={epoch}"))
 
-    ``foreachBatch`` writes each micro-batch with dynamic partition overwrite,
-    so a retried batch rewrites the same partitions (idempotent); within one
-    batch, the last row per key wins (A22).
-    """
-    from tidewell.operators.reconcile import dedupe_last
-    from tidewell.sources.sinks import replace_month_partitions
+    return (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
-    stream = (spark.readStream.schema(schema).parquet(source_dir)
-              .withColumn("_src", F.col("_metadata.file_name")))
 
-    def upsert(batch: DataFrame, epoch_id: int) -> None:
-        latest = dedupe_last(batch.withColumn("month", year_month("Date")),
-                             ["Store", "Product", "Date"], ["_src"]).drop("_src")
-        replace_month_partitions(latest, table_path, staging_root)
+_LEDGER = "month string, mtime timestamp, file string, epoch bigint"
 
-    return (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(month, mtime, file, epoch): the uploads that replaced a month, batch by batch."""
+    if not runs.exists(spark, path):
+        return spark.createDataFrame([], _LEDGER)
+    return spark.read.schema(_LEDGER).parquet(path)
 
 
 def _with_watermark(df: DataFrame, watermark: str | None) -> DataFrame:
