@@ -300,6 +300,9 @@ def test_monitor_and_reconcile_with_a_model(spark, tmpdir_path):
     imp = spark.createDataFrame([("Lag_1", 0.7), ("Rolling_Mean_4", 0.3)], "feature string, importance double")
     out = plan_jobs.monitor(spark, rows, up, f"{tmpdir_path}/m", importance=imp, model=model)
     assert out["months"].count() == 10
+    for _ in range(2):                                     # written by the first run, read by the second
+        again = plan_jobs.monitor(spark, rows, up, f"{tmpdir_path}/m2", imp, model, f"{tmpdir_path}/baseline")
+        assert sorted(map(str, again["months"].collect())) == sorted(map(str, out["months"].collect()))
     stored = spark.read.parquet(f"{tmpdir_path}/m/predictions")
     assert set(stored.columns) == {"Store", "Product", "Date", "Demand", "Predicted", "month", "run_ts"}     # K1b
     lr = model.pipeline.stages[-1]

@@ -1,20 +1,18 @@
-"""Distributed running sums over an ordered key, per group.
+"""Distributed running sums and as-of lookups over an ordered key, per group.
 
 A window ``sum(x) over (partition by g order by v)`` sends each group ``g``
 to one task.  For distribution comparisons a group is (month, feature) and can
-hold as many distinct values as the table has rows, so the running sum is done
-in two levels instead:
+hold as many distinct values as the table has rows, so the work is done in two
+levels, always:
 
-1. order-preserving buckets per group from approximate quantiles of ``v``
-   (one small row of bucket bounds per group);
+1. order-preserving buckets of ``v`` by bounds that the caller computed once
+   (``bucket_bounds``: approximate quantiles, one small row per group) or stored;
 2. bucket totals, and their exclusive running sum over the bucket index (a
    table of #groups x #buckets rows);
 3. the running sum inside each (group, bucket), plus the bucket's offset.
 
-The same bucketing gives ``lead(v)`` across bucket borders (the next value is
-the smallest value of the next non-empty bucket).  The bucket bounds are
-written once to the checkpoint folder so both uses see the same bounds.  Results equal the plain
-window exactly; only the work distribution changes.
+Results equal the plain window exactly, whatever the bounds; only the work
+distribution changes.  The number of buckets follows the largest group.
 """
 
 from __future__ import annotations
@@ -24,75 +22,60 @@ from pyspark.sql import functions as F
 
 from tidewell.session import cut_lineage
 
+TARGET_ROWS = 2_000_000     # rows of the largest group in one bucket, about
+LEAST_BUCKETS = 4
 
-def buckets_for(rows: int, groups: int = 1, target_rows: int = 2_000_000) -> int:
-    """Buckets per group so that a (group, bucket) window holds about ``target_rows``."""
-    per_group = max(1, rows // max(1, groups))
-    return int(max(1, -(-per_group // target_rows)))
 
+def bucket_count(df: DataFrame, group_cols: list[str]) -> int:
+    """Buckets for which a bucket of the largest group holds about ``TARGET_ROWS`` rows."""
+    largest = df.groupBy(*group_cols).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    return max(LEAST_BUCKETS, -(-largest // TARGET_ROWS))
 
-def _bucketed(df: DataFrame, group_cols: list[str], key_col: str, buckets: int) -> DataFrame:
-    """Add ``_b``: an order-preserving bucket of ``key_col`` within each group."""
-    if buckets <= 1:
-        return df.withColumn("_b", F.lit(0))
-    probs = [i / buckets for i in range(1, buckets)]
-    # Approximate quantiles depend on the order partial results are merged in; the
-    # bounds feed both sides of the computation, so they are materialised once
-    # (reliable checkpoint in the shared checkpoint folder, #groups rows).
-    bounds = cut_lineage(df.groupBy(*group_cols).agg(
-        F.percentile_approx(key_col, probs, 1000).alias("_bounds")))
+
+def bucket_bounds(df: DataFrame, group_cols: list[str], key_col: str, buckets: int) -> DataFrame:
+    """(group, ``_bounds``): inner bucket borders of ``key_col`` per group. Approximate quantiles
+    depend on the order partial results are merged in, so they are written once (reliable
+    checkpoint, #groups rows) and every use sees the same borders."""
+    probs = [i / buckets for i in range(1, buckets)] or [0.5]
+    return cut_lineage(df.groupBy(*group_cols).agg(
+        F.percentile_approx(key_col, probs, max(1000, 20 * buckets)).alias("_bounds")))
+
+
+def bucketed(df: DataFrame, bounds: DataFrame, key_col: str) -> DataFrame:
+    """Add ``_b``: the number of bounds of the row's group below its key."""
+    on = [c for c in bounds.columns if c != "_bounds"]
     k = F.col(key_col)
-    return (df.join(bounds, group_cols)
-            .withColumn("_b", F.size(F.filter("_bounds", lambda x: x < k)))
-            .drop("_bounds"))
+    return (df.join(bounds, on).withColumn("_b", F.size(F.filter("_bounds", lambda x: x < k))).drop("_bounds"))
 
 
 def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
-                 buckets: int = 64, with_next: bool = True) -> DataFrame:
-    """Add ``cum_<c>`` (inclusive running sum of c ordered by ``order_col``) and
-    ``next_<order_col>`` per group.  Rows must be unique per (group, order_col)."""
-    if buckets <= 1:
-        # groups small enough for one window partition each: no bucket bookkeeping
-        w = Window.partitionBy(*group_cols).orderBy(order_col)
-        out = df.withColumns({f"cum_{c}": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
-                              for c in sum_cols})
-        return out.withColumn(f"next_{order_col}", F.lead(order_col).over(w)) if with_next else out
-    keyed = _bucketed(df, group_cols, order_col, buckets)
-    totals = keyed.groupBy(*group_cols, "_b").agg(
-        *[F.sum(c).alias(f"_t_{c}") for c in sum_cols],
-        F.min(order_col).alias("_bmin"))
-    wb = Window.partitionBy(*group_cols).orderBy("_b")
-    offsets = totals.select(
-        *group_cols, "_b",
-        *[F.coalesce(F.sum(f"_t_{c}").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-          .alias(f"_o_{c}") for c in sum_cols],
-        F.lead("_bmin").over(wb).alias("_next_bmin"))
-    w = Window.partitionBy(*group_cols, "_b").orderBy(order_col)
+                 bounds: DataFrame) -> DataFrame:
+    """Add ``cum_<c>``: the inclusive running sum of c ordered by ``order_col`` per group. Rows
+    must be unique per (group, order_col); ``bounds`` may be kept for part of the group only."""
+    keyed = bucketed(df, bounds, order_col)
+    totals = keyed.groupBy(*group_cols, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    before = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group_cols, "_b",
+                            *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+    inside = Window.partitionBy(*group_cols, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     out = keyed.join(offsets, group_cols + ["_b"])
-    out = out.withColumns({f"cum_{c}": F.col(f"_o_{c}") + F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
-                           for c in sum_cols})
-    if with_next:
-        out = out.withColumn(f"next_{order_col}", F.coalesce(F.lead(order_col).over(w), F.col("_next_bmin")))
-    return out.drop("_b", "_next_bmin", *[f"_o_{c}" for c in sum_cols])
+    return (out.withColumns({f"cum_{c}": F.col(f"_o_{c}") + F.sum(c).over(inside) for c in sum_cols})
+            .drop("_b", *[f"_o_{c}" for c in sum_cols]))
 
 
 def running_max(df: DataFrame, group_cols: list[str], key_col: str, tie_col: str, value_col: str,
-                out_col: str, buckets: int = 64) -> DataFrame:
+                out_col: str, bounds: DataFrame) -> DataFrame:
     """``out_col`` = max of ``value_col`` over rows with (key, tie) <= the row's, per group.
 
     With ``value_col`` set only on "source" rows and monotone along the key, this
     is an as-of lookup (forward fill) of the latest source row for every other
     row, computed in two levels like ``running_sums``.
     """
-    if buckets <= 1:
-        w1 = Window.partitionBy(*group_cols).orderBy(key_col, tie_col).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out_col, F.max(value_col).over(w1))
-    keyed = _bucketed(df, group_cols, key_col, buckets)
+    keyed = bucketed(df, bounds, key_col)
     bmax = keyed.groupBy(*group_cols, "_b").agg(F.max(value_col).alias("_bm"))
-    wb = Window.partitionBy(*group_cols).orderBy("_b")
-    prefix = bmax.select(*group_cols, "_b",
-                         F.max("_bm").over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_pm"))
-    w = Window.partitionBy(*group_cols, "_b").orderBy(key_col, tie_col).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = bmax.select(*group_cols, "_b", F.max("_bm").over(before).alias("_pm"))
+    inside = Window.partitionBy(*group_cols, "_b").orderBy(key_col, tie_col).rowsBetween(Window.unboundedPreceding, 0)
     return (keyed.join(prefix, group_cols + ["_b"])
-            .withColumn(out_col, F.greatest(F.col("_pm"), F.max(value_col).over(w)))
+            .withColumn(out_col, F.greatest(F.col("_pm"), F.max(value_col).over(inside)))
             .drop("_b", "_pm"))

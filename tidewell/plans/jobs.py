@@ -16,7 +16,7 @@ from tidewell.functions.calendar import year_month
 from tidewell.functions.keys import series_keys
 from tidewell.operators import drift, features as fe, forecast, models, reconcile, reports, split, weekly
 from tidewell.operators.models import ForecastModel
-from tidewell.sources import ingest, sinks
+from tidewell.sources import ingest, runs, sinks
 from tidewell.session import cut_lineage
 
 
@@ -33,7 +33,8 @@ def prepare(raw: DataFrame, out_path: str, rule: str = "closed", year_ceiling: i
 
 
 def monitor(spark: SparkSession, history: DataFrame, upload: DataFrame, out_root: str,
-            importance: DataFrame | None = None, model: ForecastModel | None = None) -> dict[str, DataFrame]:
+            importance: DataFrame | None = None, model: ForecastModel | None = None,
+            baseline_path: str | None = None) -> dict[str, DataFrame]:
     """D11 + D12: score every month of ``upload`` and compare it with the training years of
     ``history``, by ``model`` where one is given (its state, features and importances), else by
     the naive forecast. Thresholds depend on the features' importance (D6, D7): ``importance``
@@ -42,7 +43,8 @@ def monitor(spark: SparkSession, history: DataFrame, upload: DataFrame, out_root
     Writes predictions (K1b), the batch log (A19), the nested drift report (K3), the healing
     log with a decision per month (D12) and the run's summary (A24, F17); returns the month
     report, per-feature, decision, prediction and summary frames. Works with or without
-    ``Store``."""
+    ``Store``. With ``baseline_path`` the baseline's value counts are read from the table stored
+    there (``drift.store_baseline``), which the first run writes from the training years."""
     run_ts = _ts()
     run = F.lit(run_ts)
     train_years, _ = split.split_years(history)
@@ -66,7 +68,13 @@ def monitor(spark: SparkSession, history: DataFrame, upload: DataFrame, out_root
         importance = (drift.correlation_importance(base_feats, names) if model is None
                       else models.feature_importances(model.pipeline, model.features))
     categories = drift.importance_category(importance)
-    pf = cut_lineage(drift.feature_drift(base_feats, cur_feats, names, categories, month_col="YearMonth")
+    stored = None
+    if baseline_path is not None:
+        if not runs.exists(spark, f"{baseline_path.rstrip('/')}/counts"):
+            drift.store_baseline(spark, base_feats.withColumn("YearMonth", year_month("Date")), names, baseline_path,
+                                 f"{out_root}/staging", "YearMonth")
+        stored = drift.stored_baseline(spark, baseline_path)
+    pf = cut_lineage(drift.feature_drift(base_feats, cur_feats, names, categories, month_col="YearMonth", stored=stored)
                      .withColumnRenamed("YearMonth", "month"))
     trend = drift.error_trend(base_feats, cur_feats, "YearMonth").withColumnRenamed("YearMonth", "month")
     months = cut_lineage(drift.month_severity(pf, trend))
