@@ -17,7 +17,7 @@ distribution changes.  The number of buckets follows the largest group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.session import cut_lineage
@@ -37,8 +37,19 @@ def bucket_bounds(df: DataFrame, group_cols: list[str], key_col: str, buckets: i
     depend on the order partial results are merged in, so they are written once (reliable
     checkpoint, #groups rows) and every use sees the same borders."""
     probs = [i / buckets for i in range(1, buckets)] or [0.5]
-    return cut_lineage(df.groupBy(*group_cols).agg(
-        F.percentile_approx(key_col, probs, max(1000, 20 * buckets)).alias("_bounds")))
+    return small_side(cut_lineage(df.groupBy(*group_cols).agg(
+        F.percentile_approx(key_col, probs, max(1000, 20 * buckets)).alias("_bounds"))), F.size("_bounds"))
+
+
+BROADCAST_CELLS = 1 << 19   # numbers (or rows) of a table that may be broadcast, 8 bytes or so each
+
+
+def small_side(table: DataFrame, cells: Column | None = None) -> DataFrame:
+    """``table``, to be broadcast where its counted size (rows, or the sum of ``cells``) is at
+    most ``BROADCAST_CELLS``; larger ones join by shuffle. For tables written by a checkpoint,
+    whose size the planner does not know before it has shuffled the other side."""
+    n = table.agg(F.sum(cells if cells is not None else F.lit(1)).alias("n")).first()["n"] or 0
+    return F.broadcast(table) if n <= BROADCAST_CELLS else table
 
 
 def bucketed(df: DataFrame, bounds: DataFrame, key_col: str) -> DataFrame:
@@ -63,19 +74,23 @@ def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sum_cols:
             .drop("_b", *[f"_o_{c}" for c in sum_cols]))
 
 
-def running_max(df: DataFrame, group_cols: list[str], key_col: str, tie_col: str, value_col: str,
-                out_col: str, bounds: DataFrame) -> DataFrame:
-    """``out_col`` = max of ``value_col`` over rows with (key, tie) <= the row's, per group.
+def as_of(source: DataFrame, queries: DataFrame, group_cols: list[str], key_col: str, columns: list[str],
+          bounds: DataFrame) -> DataFrame:
+    """Each query row with ``columns`` of the last source row of its group whose key is at most
+    its own (null if there is none): a lookup in two levels like ``running_sums``.
 
-    With ``value_col`` set only on "source" rows and monotone along the key, this
-    is an as-of lookup (forward fill) of the latest source row for every other
-    row, computed in two levels like ``running_sums``.
-    """
-    keyed = bucketed(df, bounds, key_col)
-    bmax = keyed.groupBy(*group_cols, "_b").agg(F.max(value_col).alias("_bm"))
+    ``source`` has the group, the key and the columns. A bucket's last source row comes from one
+    aggregate over the source, carried forward over the small (group, bucket) table; inside a
+    bucket, source and query rows are sorted together and filled forward."""
+    ends = bucketed(source, bounds, key_col).groupBy(*group_cols, "_b").agg(
+        *[F.max_by(c, F.col(key_col)).alias(f"_p_{c}") for c in columns])
+    every = bounds.select(*group_cols, F.explode(F.sequence(F.lit(0), F.size("_bounds"))).alias("_b"))
     before = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = bmax.select(*group_cols, "_b", F.max("_bm").over(before).alias("_pm"))
-    inside = Window.partitionBy(*group_cols, "_b").orderBy(key_col, tie_col).rowsBetween(Window.unboundedPreceding, 0)
-    return (keyed.join(prefix, group_cols + ["_b"])
-            .withColumn(out_col, F.greatest(F.col("_pm"), F.max(value_col).over(inside)))
-            .drop("_b", "_pm"))
+    steps = every.join(ends, [*group_cols, "_b"], "left").select(
+        *group_cols, "_b", *[F.last(f"_p_{c}", ignorenulls=True).over(before).alias(f"_p_{c}") for c in columns])
+    both = source.withColumn("_t", F.lit(0)).unionByName(queries.withColumn("_t", F.lit(1)), allowMissingColumns=True)
+    inside = (Window.partitionBy(*group_cols, "_b").orderBy(key_col, "_t")
+              .rowsBetween(Window.unboundedPreceding, 0))
+    out = bucketed(both, bounds, key_col).join(steps, [*group_cols, "_b"])
+    return (out.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_p_{c}")) for c in columns})
+            .where(F.col("_t") == 1).drop("_b", "_t", *[f"_p_{c}" for c in columns]))
