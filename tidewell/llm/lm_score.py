@@ -20,7 +20,8 @@ same pass sums the weighted probabilities up to depth 1, a table of at most 2**1
 finishes depths 1 and 0 on the driver, and at most 511 rows of each split context, finished
 there before (one per million grams at most, and depth); a second pass reads the merged buckets, without
 another exchange, and returns each block the code length of its grams. Word counts for the
-base score travel in one exchange and back. A text longer than a block is a block of its own.
+base score travel in one exchange and back. Inside a block, texts are worked on in slices of
+about 512 KB. A text longer than a block is a block of its own.
 
 Defined cases: null and empty texts are one end token; without training texts the base
 score takes V = N = 0 and every byte costs eight bits; repeated rows count and are scored
@@ -42,8 +43,10 @@ from tidewell.llm import blocks as B
 DEPTH = 6                 # context bytes; a gram is DEPTH + 1 bytes of a 64-bit key
 SPACE, END = 32, 10
 _END_WORD = A.constants(1, 401)      # stands for the end token among word hashes
-GRAMS_A_BYTE = 0.06       # distinct grams of a block per byte of text
+WORDS_A_BYTE = 0.05       # distinct words of a block per byte of text
+GRAM_KEYS = 1 << 19       # grams of a bucket before it is merged, about
 SPLIT_KEYS = B.KEYS_PER_BUCKET       # a context with more grams is dealt by one more byte
+SLICE_BYTES = 1 << 19     # of a block's text worked on at once
 SAMPLE_BYTES = 1 << 20    # of a block, to find such contexts
 _HALF = math.log(0.5)
 _SMALL = np.array([math.lgamma(i + 0.5) for i in range(1024)])
@@ -306,20 +309,37 @@ class Split:
         return self.top(bit, key, p, known)
 
 
+def _sample_blocks(packed: DataFrame, blocks: int) -> DataFrame:
+    return packed.filter(F.pmod(F.xxhash64("block"), F.lit(max(1, -(-blocks // 16)))) == 0).select("data")
+
+
+def _sampled(data: bytes) -> tuple[int, np.ndarray]:
+    """Bytes and distinct grams of about 1 MB of a block's texts."""
+    texts = Block(data).texts
+    size = max(1, len(A.text_bytes(texts)[0]))
+    texts = texts.take(pa.array(np.arange(0, len(texts), -(-size // SAMPLE_BYTES))))
+    return max(1, len(A.text_bytes(texts)[0])), np.unique(grams(texts)[0])
+
+
+def grams_a_byte(packed: DataFrame, blocks: int) -> float:
+    """Distinct grams of a block per byte of its text, measured on about 1 MB of up to about 16
+    blocks (a whole block repeats more, so this is rather too much)."""
+    def sample(batches):
+        for batch in batches:
+            for blob in batch.column("data"):
+                size, key = _sampled(blob.as_py())
+                yield pa.RecordBatch.from_pydict({"size": [size], "n": [len(key)]})
+    r = _sample_blocks(packed, blocks).mapInArrow(sample, "size long, n long").agg(F.sum("n"), F.sum("size")).first()
+    return r[0] / r[1] if r[1] else 0.1
+
+
 def hot_contexts(packed: DataFrame, blocks: int, total: int, limit: int) -> dict[int, np.ndarray]:
     """Contexts of 2 to DEPTH - 1 bytes with more than about ``limit`` grams summed over the
     blocks, read from about 1 MB of up to about 16 blocks."""
-    if total * GRAMS_A_BYTE <= limit:
-        return {}
-
     def sample(batches):
         for batch in batches:
             for blob in batch.column("data"):
-                texts = Block(blob.as_py()).texts
-                size = max(1, len(A.text_bytes(texts)[0]))
-                texts = texts.take(pa.array(np.arange(0, len(texts), -(-size // SAMPLE_BYTES))))
-                size = max(1, len(A.text_bytes(texts)[0]))
-                key = np.unique(grams(texts)[0])
+                size, key = _sampled(blob.as_py())
                 rows = [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([size]))]
                 for d in range(2, DEPTH):
                     ctx, n = np.unique(key >> np.uint64(8 * (DEPTH + 1 - d)), return_counts=True)
@@ -327,8 +347,7 @@ def hot_contexts(packed: DataFrame, blocks: int, total: int, limit: int) -> dict
                     rows.append((np.full(many.sum(), d), ctx[many].astype(np.int64), n[many]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)],
                                                  ["depth", "ctx", "n"])
-    some = packed.filter(F.pmod(F.xxhash64("block"), F.lit(max(1, -(-blocks // 16)))) == 0).select("data")
-    found = some.mapInArrow(sample, "depth long, ctx long, n long").groupBy("depth", "ctx").agg(F.sum("n").alias("n"))
+    found = _sample_blocks(packed, blocks).mapInArrow(sample, "depth long, ctx long, n long").groupBy("depth", "ctx").agg(F.sum("n").alias("n"))
     # a context is over a quarter of the limit somewhere: at most 4 * grams / limit of a depth and block
     rows = found.collect()
     size = sum(r["n"] for r in rows if r["depth"] == 0)
@@ -348,17 +367,46 @@ class Block:
         self.ids, self.texts = t["id"].combine_chunks(), t["text"].combine_chunks()
         self.train = t["train"].to_numpy(zero_copy_only=False).astype(bool)
 
+    def spans(self):
+        """Row ranges of about ``SLICE_BYTES`` of text; a longer text is alone in its range."""
+        offs = A.text_bytes(self.texts)[1]
+        begin, rows = 0, len(offs) - 1
+        for i in range(1, rows + 1):
+            if i == rows or offs[i + 1] - offs[begin] > SLICE_BYTES:
+                yield begin, i
+                begin = i
+
+    def _request(self, keys_of):
+        """Distinct keys of the block with their training counts, gathered slice by slice."""
+        held, waiting = [], 0
+        for a, b in self.spans():
+            key, keep = keys_of(a, b)
+            uniq, of = np.unique(key, return_inverse=True)
+            held.append((uniq, _counts(of, keep, len(uniq))))
+            waiting += len(uniq)
+            if waiting > 2 * len(held[0][0]) + SLICE_BYTES:
+                held, waiting = [_summed(*[np.concatenate(c) for c in zip(*held)])[:2]], 0
+        if not held:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return _summed(*[np.concatenate(c) for c in zip(*held)])[:2]
+
     def gram_request(self):
-        key, begin, _ = grams(self.texts)
-        uniq, of = np.unique(key, return_inverse=True)
-        return uniq, _counts(of, np.repeat(self.train, np.diff(begin)), len(uniq)), of, begin
+        def keys_of(a, b):
+            key, begin, _ = grams(self.texts.slice(a, b - a))
+            return key, np.repeat(self.train[a:b], np.diff(begin))
+        return self._request(keys_of)
+
+    def words(self, a: int, b: int):
+        """(hash of every token, its text, the words) of a row range; ends come last."""
+        w = A.find_words(self.texts.slice(a, b - a), lower=True)
+        return (np.concatenate([A.word_hash(w, 3), np.repeat(_END_WORD, w.rows)]),
+                np.concatenate([w.row, np.arange(w.rows)]), w)
 
     def word_request(self):
-        w = A.find_words(self.texts, lower=True)
-        h = np.concatenate([A.word_hash(w, 3), np.repeat(_END_WORD, w.rows)])
-        keep = np.concatenate([self.train[w.row], self.train])
-        uniq, of = np.unique(h, return_inverse=True)
-        return uniq, _counts(of, keep, len(uniq)), of, w
+        def keys_of(a, b):
+            h, row, _ = self.words(a, b)
+            return h, self.train[a:b][row]
+        return self._request(keys_of)
 
 
 MERGED = ("bucket long, grams binary, blocks array<string>, places array<binary>, "
@@ -378,14 +426,15 @@ def score(docs: DataFrame, train_rule: Column, id_col: str = "doc_id", text_col:
                     F.coalesce(train_rule, F.lit(True)).alias("train"))
     packed = B.pack(d, id_col, text_col, "train")
     blocks, total = (x or 0 for x in packed.agg(F.count("*"), F.sum("n_bytes")).first())
-    gram_buckets, word_buckets = B.bucket_count(total, GRAMS_A_BYTE), B.bucket_count(total, 0.05)
+    gram_buckets = max(16, -(-int(total * grams_a_byte(packed, blocks)) // GRAM_KEYS))
+    word_buckets = B.bucket_count(total, WORDS_A_BYTE)
     split = Split(hot_contexts(packed, blocks, total, SPLIT_KEYS))
     data = packed.select("block", "data")
 
     def ask_grams(batches):
         for batch in batches:
             for name, blob in zip(batch.column("block").to_pylist(), batch.column("data")):
-                key, n, _, _ = Block(blob.as_py()).gram_request()
+                key, n = Block(blob.as_py()).gram_request()
                 yield B.dealt(name, key, gram_buckets, n.astype(np.uint32), by=split.bucket(key))
 
     def merge_bucket(t: pa.Table) -> pa.Table:
@@ -422,7 +471,7 @@ def score(docs: DataFrame, train_rule: Column, id_col: str = "doc_id", text_col:
     def ask_words(batches):
         for batch in batches:
             for name, blob in zip(batch.column("block").to_pylist(), batch.column("data")):
-                h, n, _, _ = Block(blob.as_py()).word_request()
+                h, n = Block(blob.as_py()).word_request()
                 yield B.dealt(name, h, word_buckets, n.astype(np.uint32))
 
     def word_counts(cols, _):
@@ -448,19 +497,23 @@ def score(docs: DataFrame, train_rule: Column, id_col: str = "doc_id", text_col:
         done = []
         for blob in text["data"]:
             block = Block(blob.as_py())
-            key, _, of, begin = block.gram_request()
+            key = block.gram_request()[0]
             bits = B.collected(got.filter(pc.equal(got["kind"], 1)), key, gram_buckets, by=split.bucket(key))
-            cost = np.concatenate([[0.0], np.cumsum(bits[0].view(np.float32).astype(np.float64)[of])])
-            cost = cost[begin[1:]] - cost[begin[:-1]]
-            h, _, of, w = block.word_request()
-            c = B.collected(got.filter(pc.equal(got["kind"], 2)), h, word_buckets)[0][of]
-            row = np.concatenate([w.row, np.arange(w.rows)])
-            base = np.bincount(row, np.log10((c + 0.1) / (train_tokens + 0.1 * (distinct + 1))), w.rows)
-            done.append(pa.table({
-                "doc_id": block.ids, "held_out": pa.array(~block.train), "n_tokens": pa.array(w.counts.astype(np.int64) + 1),
-                "n_known": pa.array(np.bincount(row, c > 0, w.rows).astype(np.int64)),
-                "train_tokens": pa.array(np.full(w.rows, train_tokens)), "base_score": pa.array(base),
-                "score": pa.array(-cost * math.log10(2)), "bits_per_byte": pa.array(cost / np.diff(begin))}))
+            known = block.word_request()[0]
+            counts = B.collected(got.filter(pc.equal(got["kind"], 2)), known, word_buckets)
+            for a, b in block.spans():
+                own, begin, _ = grams(block.texts.slice(a, b - a))
+                cost = bits[0][np.searchsorted(key, own)].view(np.float32).astype(np.float64)
+                cost = np.add.reduceat(cost, begin[:-1])
+                h, row, w = block.words(a, b)
+                c = counts[0][np.searchsorted(known, h)]
+                base = np.bincount(row, np.log10((c + 0.1) / (train_tokens + 0.1 * (distinct + 1))), w.rows)
+                done.append(pa.table({
+                    "doc_id": block.ids.slice(a, b - a), "held_out": pa.array(~block.train[a:b]),
+                    "n_tokens": pa.array(w.counts.astype(np.int64) + 1),
+                    "n_known": pa.array(np.bincount(row, c > 0, w.rows).astype(np.int64)),
+                    "train_tokens": pa.array(np.full(w.rows, train_tokens)), "base_score": pa.array(base),
+                    "score": pa.array(-cost * math.log10(2)), "bits_per_byte": pa.array(cost / np.diff(begin))}))
         return pa.concat_tables(done)
     both = (grams_back.select(F.col("block").alias("to"), F.lit(1).alias("kind"), "bucket", "data")
             .unionByName(words_back.select(F.col("block").alias("to"), F.lit(2).alias("kind"), "bucket", "data")))
