@@ -376,11 +376,10 @@ class Block:
                 yield begin, i
                 begin = i
 
-    def _request(self, keys_of):
-        """Distinct keys of the block with their training counts, gathered slice by slice."""
+    def _request(self, slices):
+        """Distinct keys of the block and their training counts, gathered slice by slice."""
         held, waiting = [], 0
-        for a, b in self.spans():
-            key, keep = keys_of(a, b)
+        for key, keep in slices:
             uniq, of = np.unique(key, return_inverse=True)
             held.append((uniq, _counts(of, keep, len(uniq))))
             waiting += len(uniq)
@@ -390,11 +389,23 @@ class Block:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return _summed(*[np.concatenate(c) for c in zip(*held)])[:2]
 
-    def gram_request(self):
-        def keys_of(a, b):
+    @staticmethod
+    def _places(slices):
+        """Distinct keys of the block, and for each slice the distinct keys of its own and the
+        place of every key among them (four bytes a key)."""
+        own = []
+        for key, _ in slices:
+            uniq, of = np.unique(key, return_inverse=True)
+            own.append((uniq, of.astype(np.uint32)))
+        known = np.sort(np.concatenate([u for u, _ in own])) if own else np.zeros(0, np.uint64)
+        first = np.ones(len(known), bool)
+        first[1:] = known[1:] != known[:-1]
+        return known[first], own
+
+    def gram_slices(self):
+        for a, b in self.spans():
             key, begin, _ = grams(self.texts.slice(a, b - a))
-            return key, np.repeat(self.train[a:b], np.diff(begin))
-        return self._request(keys_of)
+            yield key, np.repeat(self.train[a:b], np.diff(begin))
 
     def words(self, a: int, b: int):
         """(hash of every token, its text, the words) of a row range; ends come last."""
@@ -402,11 +413,24 @@ class Block:
         return (np.concatenate([A.word_hash(w, 3), np.repeat(_END_WORD, w.rows)]),
                 np.concatenate([w.row, np.arange(w.rows)]), w)
 
-    def word_request(self):
-        def keys_of(a, b):
+    def word_slices(self):
+        for a, b in self.spans():
             h, row, _ = self.words(a, b)
-            return h, self.train[a:b][row]
-        return self._request(keys_of)
+            yield h, self.train[a:b][row]
+
+    def gram_request(self):
+        return self._request(self.gram_slices())
+
+    def word_request(self):
+        return self._request(self.word_slices())
+
+    def answered(self, slices, ask):
+        """For every slice the answers of its keys in text order: ``ask`` gets the block's
+        distinct keys once; each slice looks its sorted distinct keys up among them."""
+        known, own = self._places(slices)
+        value = ask(known) if len(known) else np.zeros(0)
+        for uniq, of in own:
+            yield value[np.searchsorted(known, uniq)][of]
 
 
 MERGED = ("bucket long, grams binary, blocks array<string>, places array<binary>, "
@@ -497,23 +521,22 @@ def score(docs: DataFrame, train_rule: Column, id_col: str = "doc_id", text_col:
         done = []
         for blob in text["data"]:
             block = Block(blob.as_py())
-            key = block.gram_request()[0]
-            bits = B.collected(got.filter(pc.equal(got["kind"], 1)), key, gram_buckets, by=split.bucket(key))
-            known = block.word_request()[0]
-            counts = B.collected(got.filter(pc.equal(got["kind"], 2)), known, word_buckets)
-            for a, b in block.spans():
-                own, begin, _ = grams(block.texts.slice(a, b - a))
-                cost = bits[0][np.searchsorted(key, own)].view(np.float32).astype(np.float64)
-                cost = np.add.reduceat(cost, begin[:-1])
-                h, row, w = block.words(a, b)
-                c = counts[0][np.searchsorted(known, h)]
+            costs = block.answered(block.gram_slices(), lambda key: B.collected(
+                got.filter(pc.equal(got["kind"], 1)), key, gram_buckets, by=split.bucket(key))[0].view(np.float32))
+            counts = block.answered(block.word_slices(), lambda key: B.collected(
+                got.filter(pc.equal(got["kind"], 2)), key, word_buckets)[0])
+            for (a, b), cost, c in zip(block.spans(), costs, counts):
+                w = A.find_words(block.texts.slice(a, b - a), lower=True)
+                row = np.concatenate([w.row, np.arange(w.rows)])
+                size = np.bincount(w.row, w.end - w.start + 1, w.rows).astype(np.int64) + 1
+                cost = np.add.reduceat(cost.astype(np.float64), np.cumsum(size) - size)
                 base = np.bincount(row, np.log10((c + 0.1) / (train_tokens + 0.1 * (distinct + 1))), w.rows)
                 done.append(pa.table({
                     "doc_id": block.ids.slice(a, b - a), "held_out": pa.array(~block.train[a:b]),
                     "n_tokens": pa.array(w.counts.astype(np.int64) + 1),
                     "n_known": pa.array(np.bincount(row, c > 0, w.rows).astype(np.int64)),
                     "train_tokens": pa.array(np.full(w.rows, train_tokens)), "base_score": pa.array(base),
-                    "score": pa.array(-cost * math.log10(2)), "bits_per_byte": pa.array(cost / np.diff(begin))}))
+                    "score": pa.array(-cost * math.log10(2)), "bits_per_byte": pa.array(cost / size)}))
         return pa.concat_tables(done)
     both = (grams_back.select(F.col("block").alias("to"), F.lit(1).alias("kind"), "bucket", "data")
             .unionByName(words_back.select(F.col("block").alias("to"), F.lit(2).alias("kind"), "bucket", "data")))
