@@ -197,16 +197,18 @@ def grams(texts: pa.Array):
     begin = np.concatenate([[0], np.cumsum(per)])
     out = np.full(begin[-1], SPACE, dtype=np.uint8)
     place = np.cumsum(size) - size + w.row                                    # start of each word in out
-    src = np.repeat(w.start - place, size - 1) if n else np.zeros(0, np.int64)
-    dst = np.repeat(place - (np.cumsum(size - 1) - (size - 1)), size - 1) + np.arange(int((size - 1).sum()))
-    out[dst] = w.buf[dst + src] if n else out[dst]
+    text = np.ones(len(out), bool)                                            # bytes of words, in order
+    text[place + size - 1] = False
+    text[begin[1:] - 1] = False
+    out[text] = w.buf[~A.SPACE[w.buf]]
     out[begin[1:] - 1] = END
     key = out.astype(np.uint64)
-    back = (np.arange(len(out)) - np.repeat(begin[:-1], per)).astype(np.int32)
     for d in range(1, DEPTH + 1):
         older = np.zeros(len(out), dtype=np.uint64)
         older[d:] = out[:-d] if d <= len(out) else 0
-        older[back < d] = 0
+        # no byte before the text; beyond a text shorter than d lies the next one's beginning
+        early = (begin[:-1, None] + np.arange(d)).ravel()
+        older[early[early < len(out)]] = 0
         key |= older << np.uint64(8 * (DEPTH + 1 - d))
     return key, begin, w
 
@@ -359,6 +361,20 @@ def _counts(of: np.ndarray, keep: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(of, keep, size).astype(np.int64)
 
 
+def _key_counts(key: np.ndarray, keep: np.ndarray):
+    uniq, of = np.unique(key, return_inverse=True)
+    return uniq, _counts(of, keep, len(uniq))
+
+
+def _gram_counts(key: np.ndarray, keep: np.ndarray):
+    """Like ``_key_counts`` by one plain sort: a gram leaves its highest byte free, so the
+    training mark rides in the lowest bit."""
+    both = np.sort((key << np.uint64(1)) | keep)
+    key = both >> np.uint64(1)
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+    return key[start], np.add.reduceat((both & np.uint64(1)).astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+
+
 class Block:
     """Texts of a block with the training mark of each row."""
 
@@ -376,13 +392,12 @@ class Block:
                 yield begin, i
                 begin = i
 
-    def _request(self, slices):
+    def _request(self, slices, counted):
         """Distinct keys of the block and their training counts, gathered slice by slice."""
         held, waiting = [], 0
         for key, keep in slices:
-            uniq, of = np.unique(key, return_inverse=True)
-            held.append((uniq, _counts(of, keep, len(uniq))))
-            waiting += len(uniq)
+            held.append(counted(key, keep))
+            waiting += len(held[-1][0])
             if waiting > 2 * len(held[0][0]) + SLICE_BYTES:
                 held, waiting = [_summed(*[np.concatenate(c) for c in zip(*held)])[:2]], 0
         if not held:
@@ -419,10 +434,10 @@ class Block:
             yield h, self.train[a:b][row]
 
     def gram_request(self):
-        return self._request(self.gram_slices())
+        return self._request(self.gram_slices(), _gram_counts)
 
     def word_request(self):
-        return self._request(self.word_slices())
+        return self._request(self.word_slices(), _key_counts)
 
     def answered(self, slices, ask):
         """For every slice the answers of its keys in text order: ``ask`` gets the block's
