@@ -66,3 +66,15 @@ def word_count(text):
     cleaned = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " "))
     return F.when(F.length(cleaned) == 0, F.lit(0).cast("long")).otherwise(
         (F.length(cleaned) - F.length(F.replace(cleaned, F.lit(" "), F.lit(""))) + 1).cast("long"))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Helper column names that no column of ``df`` has (whatever its case): a name that is
+    taken gets underscores until it is free."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

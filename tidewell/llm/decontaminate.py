@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import arrow_words as A
-from tidewell.llm.common import importable, staged, text_slices
+from tidewell.llm.common import free_names, importable, staged, text_slices
 
 WINDOW = 10
 FILTER_BITS = 1 << 26
@@ -179,7 +179,8 @@ def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The documents without a hit, all columns kept (equal rows share their mark)."""
+    bad_id, bad_key = free_names(docs, "_bad_id", "_bad_key")
     bad = (mark(docs, items, id_col, text_col, **kw).filter("contaminated")
-           .select(F.col("doc_id").alias("_bad_id"), F.col("doc_key").alias("_bad_key")).distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id"))
-                     & (F.xxhash64(F.col(text_col)) == F.col("_bad_key")), "left_anti")
+           .select(F.col("doc_id").alias(bad_id), F.col("doc_key").alias(bad_key)).distinct())
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(bad_id))
+                     & (F.xxhash64(F.col(text_col)) == F.col(bad_key)), "left_anti")

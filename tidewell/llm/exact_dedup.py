@@ -28,7 +28,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import SPACE_RUN, staged
+from tidewell.llm.common import SPACE_RUN, free_names, staged
 
 FAN_IN = 16            # runs merged by one step of a round
 RUN_ROWS = 1 << 18     # intended rows per first-level run
@@ -103,13 +103,14 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     The digest row of the surviving id is found by the tree; the documents themselves are
     joined to the survivors by (id, digest), a key of one row each.
     """
+    row_sha, keep_id, keep_sha = free_names(df, "_row_sha", "_keep_id", "_keep_sha")
     r = _resolved(df, id_col, text_col)
     keep = (r.filter(F.col("_id").eqNullSafe(F.col("_first")))
-            .select(F.col("_id").alias("_keep_id"), F.col("_sha").alias("_keep_sha")).distinct())
+            .select(F.col("_id").alias(keep_id), F.col("_sha").alias(keep_sha)).distinct())
     sha = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
     names = df.columns
     # rows that repeat both id and text: one of them stays
-    rows = df.select(*[F.col(f"`{c}`") for c in names], sha.alias("_row_sha"))
-    out = rows.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_row_sha") == F.col("_keep_sha")),
+    rows = df.select(*[F.col(f"`{c}`") for c in names], sha.alias(row_sha))
+    out = rows.join(keep, F.col(id_col).eqNullSafe(F.col(keep_id)) & (F.col(row_sha) == F.col(keep_sha)),
                     "left_semi")
-    return out.dropDuplicates([id_col, "_row_sha"]).select(*[F.col(f"`{c}`") for c in names])
+    return out.dropDuplicates([id_col, row_sha]).select(*[F.col(f"`{c}`") for c in names])

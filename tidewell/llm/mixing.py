@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import staged, word_count
+from tidewell.llm.common import free_names, staged, word_count
 from tidewell.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -138,16 +138,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 def replicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
               weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The mix itself: the input's columns, each document as often as it is taken, with
-    ``copy`` from 1. Documents are joined to their plan by (id, hash); equal rows of a
-    repeated document share their copies."""
-    p = plan(staged(_sized(df, id_col, text_col, source_col)), weights, cap)
-    p = (p.groupBy(F.col("_id").alias("_pid"), F.col("_hash").alias("_phash"), F.col("source").alias("_psource"))
-         .agg(F.sum("copies").alias("_copies")).filter("_copies > 0"))
+    """The mix itself: the input's columns, each document as often as it is taken, numbered from
+    1 in a further column ``copy`` (``copy_`` where the input has a ``copy``). Documents are
+    joined to their plan by (id, hash); equal rows of a repeated document share their copies."""
     names = df.columns
-    one = df.withColumn("_phash2", F.xxhash64(F.lit(23), F.col(id_col), F.col(text_col))).dropDuplicates(
-        [id_col, "_phash2", source_col])
-    cond = (F.col(id_col).eqNullSafe(F.col("_pid")) & (F.col("_phash2") == F.col("_phash"))
-            & F.col(source_col).eqNullSafe(F.col("_psource")))
-    return (one.join(p, cond).select(*[F.col(f"`{c}`") for c in names],
-                                     F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy")))
+    pid, phash, psource, taken, row_hash, copy = free_names(df, "_pid", "_phash", "_psource", "_copies", "_phash2", "copy")
+    p = plan(staged(_sized(df, id_col, text_col, source_col)), weights, cap)
+    p = (p.groupBy(F.col("_id").alias(pid), F.col("_hash").alias(phash), F.col("source").alias(psource))
+         .agg(F.sum("copies").alias(taken)).filter(F.col(taken) > 0))
+    one = df.withColumn(row_hash, F.xxhash64(F.lit(23), F.col(id_col), F.col(text_col))).dropDuplicates(
+        [id_col, row_hash, source_col])
+    cond = (F.col(id_col).eqNullSafe(F.col(pid)) & (F.col(row_hash) == F.col(phash))
+            & F.col(source_col).eqNullSafe(F.col(psource)))
+    return one.join(p, cond).select(*[F.col(f"`{c}`") for c in names],
+                                    F.explode(F.sequence(F.lit(1).cast("long"), F.col(taken))).alias(copy))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from tidewell.llm import arrow_words as A
-from tidewell.llm.common import importable, staged, text_slices
+from tidewell.llm.common import free_names, importable, staged, text_slices
 from tidewell.llm.components import connected_components
 
 SYMBOLS, CHUNK, BITS = 48, 4, 16
@@ -389,14 +389,15 @@ _SURVIVES = "id = comp_id and key = comp_key"
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                     share: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row. ``share``: least similarity in
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id; repeated ids, and null ids
+    among themselves, are all kept or all not) for every row. ``share``: least similarity in
     percent; ``size``: words per shingle."""
     r = resolve(docs, id_col, text_col, size, share)
 
     def known(c):
         return F.when(F.col(c) != _NULL_ID, F.col(c))
     return r.select(known("id").alias("doc_id"), "n_shingles", known("comp_id").alias("component_id"),
-                    F.expr(_SURVIVES).alias("kept"))
+                    F.expr("id = comp_id").alias("kept"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -405,14 +406,16 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     smallest id, with equal (or only null) smallest ids the one of the smallest text hash.
     Of rows that repeat both id and text one stays."""
     r = staged(resolve(docs, id_col, text_col, size, share).select("id", "key", "n_shingles", "comp_id", "comp_key"))
-    gone = r.filter(f"not ({_SURVIVES})").select(F.col("id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
+    gone_id, gone_key, again_id, again_key, same_id, same_key = free_names(
+        docs, "_gone", "_gone_key", "_again", "_again_key", "_same_id", "_same_key")
+    gone = r.filter(f"not ({_SURVIVES})").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
     row_id, row_key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)), F.xxhash64(F.col(text_col))
-    left = docs.join(gone, (row_id == F.col("_gone")) & (row_key == F.col("_gone_key")), "left_anti")
+    left = docs.join(gone, (row_id == F.col(gone_id)) & (row_key == F.col(gone_key)), "left_anti")
     again = staged(r.filter(f"n_shingles > 0 and {_SURVIVES}").groupBy("id", "key").agg(F.count("*").alias("n"))
-                   .filter("n > 1").select(F.col("id").alias("_again"), F.col("key").alias("_again_key")))
+                   .filter("n > 1").select(F.col("id").alias(again_id), F.col("key").alias(again_key)))
     if again.isEmpty():
         return left
-    same = (row_id == F.col("_again")) & (row_key == F.col("_again_key"))
-    one = (left.join(again, same, "left_semi").withColumn("_same_id", row_id).withColumn("_same_key", row_key)
-           .dropDuplicates(["_same_id", "_same_key"]).drop("_same_id", "_same_key"))
+    same = (row_id == F.col(again_id)) & (row_key == F.col(again_key))
+    one = (left.join(again, same, "left_semi").withColumn(same_id, row_id).withColumn(same_key, row_key)
+           .dropDuplicates([same_id, same_key]).drop(same_id, same_key))
     return left.join(again, same, "left_anti").unionByName(one)
