@@ -82,6 +82,21 @@ def test_exact_dedup_is_native(docs):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+@pytest.mark.parametrize("levels", [1, 3])
+def test_exact_dedup_merges_sorted_runs(docs, levels):
+    dig = exact_dedup.staged(exact_dedup.digests(docs))
+    tree = exact_dedup.resolve(dig, levels)
+    plan = tree._jdf.queryExecution().executedPlan().toString()
+    # the way down reads the keys of a level only, which a hash aggregate may do
+    assert "SortAggregate(key=[_run" in plan and not re.search(r"HashAggregate\([^\n]*functions=\[[^\n]*min\(", plan)
+    got = sorted((r["_sha"], r["_first"] is None, r["_first"] or 0, r["_n"]) for r in tree.collect())
+    groups = {}
+    for r in dig.collect():
+        groups.setdefault(r["_sha"], []).append(r["_id"])
+    least = {s: min((i is None, i or 0) for i in ids) for s, ids in groups.items()}
+    assert got == sorted((s, *least[s], len(ids)) for s, ids in groups.items() for _ in ids)
+
+
 def test_token_counts(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

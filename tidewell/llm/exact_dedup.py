@@ -2,16 +2,17 @@
 
 Every row becomes a digest row: SHA-256 of the text with white-space runs replaced by one
 space, plus an independent check (64-bit xxHash and byte length of the same text). Rows are
-dealt to ``FAN_IN ** levels`` runs by a hash of the row. In each round ``FAN_IN`` runs of a
-digest meet in one of the next level (run number divided by ``FAN_IN``): a partial and a
-final aggregate merge them, keep the smallest doc_id and the count, and compare the check
-values, so a digest that stood for two different texts raises instead of merging them.
-After the last round one row per digest is left.
-A native hash aggregate per level stands for the sorted multiway merge of digest runs: no run
-is sorted and none is merged in order, the rows of a (digest, run) meet by hash instead, with
-the same groups, smallest ids and checks at every level. The answer travels back down the same
-tree, one level per join, so no join key ever gathers more than ``FAN_IN`` rows of a level
-(the last level: the rows of one run), however many copies a text has.
+dealt to ``FAN_IN ** levels`` runs by a hash of the row. A task sorts its rows by (run, digest)
+and combines equal neighbours: sorted digest runs. In each round (run number divided by a power of
+``FAN_IN``: sixteen runs become one, which is four binomial rounds in one exchange) the runs are
+exchanged by digest and run, put in order and merged in one pass over neighbours: the smallest
+(is the id null, id) is kept, the counts are added and the check values compared, so a digest that
+stood for two different texts raises instead of merging them. After the last round one row per
+digest is left. Spark does this by sort aggregates, asserted in a test: the least of a struct has
+no hash aggregate. Memory is that of an external sort.
+The answer travels back down the same tree, one level per join, so no join key ever gathers more
+than ``FAN_IN`` rows of a level (the last level: the rows of one run), however many copies a text
+has.
 
 Defined cases: null text counts as empty text; empty texts form one group; null doc_ids
 sort after all others (they are kept only if the whole group has none); rows that repeat a
@@ -47,7 +48,8 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
 
 
 def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One merging step: smallest id and count per key; differing check values raise."""
+    """One merging step over rows in the order of ``keys``: least ``_first`` (is the id null, id)
+    and count per key; differing check values raise."""
     out = df.groupBy(*keys).agg(
         F.min("_first").alias("_first"), F.sum("_n").alias("_n"),
         F.min("_check_lo").alias("_check_lo"), F.max("_check_hi").alias("_check_hi"),
@@ -66,15 +68,16 @@ def resolve(dig: DataFrame, levels: int) -> DataFrame:
     """Adds ``_first`` (smallest id of the row's group) and ``_n`` (group size) to digest rows."""
     runs = FAN_IN ** levels
     dig = dig.withColumn("_run", F.pmod(F.xxhash64("_id", "_sha", F.lit(17)), F.lit(runs)))
-    level = _merge(dig.select("_sha", "_run", F.col("_id").alias("_first"), F.lit(1).cast("long").alias("_n"),
+    first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))
+    level = _merge(dig.select("_run", "_sha", first.alias("_first"), F.lit(1).cast("long").alias("_n"),
                               F.col("_check").alias("_check_lo"), F.col("_check").alias("_check_hi"),
-                              F.col("_len").alias("_len_lo"), F.col("_len").alias("_len_hi")), ["_sha", "_run"])
+                              F.col("_len").alias("_len_lo"), F.col("_len").alias("_len_hi")), ["_run", "_sha"])
     up = [level]
     for _ in range(levels):
         level = level.withColumn("_run", F.floor(F.col("_run") / FAN_IN).cast("long"))
-        level = _merge(level, ["_sha", "_run"])
+        level = _merge(level, ["_run", "_sha"])
         up.append(level)
-    answer = up[-1].select("_sha", "_run", F.col("_first").alias("_min"), F.col("_n").alias("_total"))
+    answer = up[-1].select("_sha", "_run", F.col("_first.id").alias("_min"), F.col("_n").alias("_total"))
     for below in reversed(up[:-1]):
         parent = answer.withColumnRenamed("_run", "_up")
         answer = (below.select("_sha", "_run", F.floor(F.col("_run") / FAN_IN).cast("long").alias("_up"))
