@@ -17,8 +17,9 @@ over tasks). Classes with a partner of another component within the signature di
 to a cell, their component or that of their closest centre, and all pairs of different
 components are tried there on full sets over an index of the cell's shingles. A class with
 such a partner in a larger cell visits that cell; so members travel once to each cell they
-have a partner in, not in pairs. Pairs inside one component need no check, so no link
-between different texts is lost.
+have a partner in, not in pairs. Blocks of a cell and parts of confirmed pairs are bounded by rows and by
+the bytes of their sets. Pairs inside one component need no check, so no link between different
+texts is lost but those beyond the signature distance (above).
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and are kept;
 texts with fewer words than a shingle have their whole word sequence as one shingle; null
@@ -44,6 +45,7 @@ SYMBOLS, CHUNK, BITS = 48, 4, 16
 CHUNKS = SYMBOLS // CHUNK
 MAX_ERRORS = 2 * CHUNKS - 1
 CELL = 2048
+SET_BYTES = 4096         # a group of sets counts as many rows as it has bytes / SET_BYTES, if those are more
 FILTER_BITS = 1 << 26
 _MULT, _XOR = A.constants(SYMBOLS, 501), A.constants(SYMBOLS, 502)
 _FEATURES = "id long, key long, n_shingles long, s1 long, s2 long, sig binary"
@@ -234,10 +236,16 @@ def _cell_links(share: int):
     return run
 
 
-def with_group_rows(df: DataFrame, key: str, name: str, salts: int = 64) -> DataFrame:
-    """``df`` with the number of rows of its ``key``. Counts are repeated under ``salts`` salts
-    and rows carry one by their node, so a frequent key's rows join in many tasks."""
-    count = df.groupBy(key).agg(F.count("*").alias(name)).withColumn(
+def rows_by_bytes():
+    """Size of a group of sets, in rows: their number, or their bytes over ``SET_BYTES`` if more."""
+    return F.greatest(F.count("*"), F.ceil(F.sum("bytes") / SET_BYTES))
+
+
+def with_group_rows(df: DataFrame, key: str, name: str, rows=None, salts: int = 64) -> DataFrame:
+    """``df`` with the number of rows of its ``key`` (or the aggregate ``rows``). Counts are
+    repeated under ``salts`` salts and rows carry one by their node, so a frequent key's rows
+    join in many tasks."""
+    count = df.groupBy(key).agg((F.count("*") if rows is None else rows).alias(name)).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(count, [key, "salt"]).drop("salt")
 
@@ -279,11 +287,12 @@ def _linked(share: int):
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links (u, v) among pairs (cell, x, y): those a spanning forest of each part needs. A
-    cell's y are dealt to parts of about 4 * CELL pairs; an x goes to every part it has a pair in."""
-    size = pairs.groupBy("cell").agg(F.count("*").alias("n_pairs"))
+    """Links (u, v) among pairs (cell, x, y, bytes of y's set): those a spanning forest of each
+    part needs. A cell's y are dealt to parts of about 4 * CELL pairs, fewer where sets are
+    large; an x goes to every part it has a pair in."""
+    size = pairs.groupBy("cell").agg(rows_by_bytes().alias("n_pairs"))
     p = pairs.join(size, "cell").withColumn(
-        "part", F.pmod(F.xxhash64("y"), F.ceil(F.col("n_pairs") / (CELL * 4)))).drop("n_pairs")
+        "part", F.pmod(F.xxhash64("y"), F.ceil(F.col("n_pairs") / (CELL * 4)))).drop("n_pairs", "bytes")
     p = staged(p)
     need = (p.select("cell", "part", F.col("x").alias("node")).unionByName(p.select("cell", "part", F.col("y").alias("node")))
             .distinct().join(sets, "node").select(F.col("cell").alias("cell2"), F.col("part").alias("part2"), "node", "set"))
@@ -329,8 +338,9 @@ def resolve(docs: DataFrame, id_col: str, text_col: str, size: int, share: int)
     importable(docs.sparkSession)
     feats = features(docs, id_col, text_col, size).withColumn("id", F.coalesce("id", F.lit(_NULL_ID)))
     classes = staged(feats.filter("n_shingles > 0").groupBy("s1", "s2")
-                     .agg(F.min(F.struct("id", "key")).alias("least"), F.min("sig").alias("sig"))
-                     .select("s1", "s2", F.col("least.id").alias("id"), F.col("least.key").alias("key"), "sig")
+                     .agg(F.min(F.struct("id", "key")).alias("least"), F.min("sig").alias("sig"),
+                          (F.max("n_shingles") * 8).alias("bytes"))
+                     .select("s1", "s2", F.col("least.id").alias("id"), F.col("least.key").alias("key"), "sig", "bytes")
                      .withColumn("node", F.monotonically_increasing_id()))
     sigs = classes.select("node", "sig")
     keys = sigs.mapInArrow(_keys, "key long, which int, node long")
@@ -342,16 +352,17 @@ def resolve(docs: DataFrame, id_col: str, text_col: str, size: int, share: int)
     star = (member.join(pivot.select("key", (-F.col("p.m")).alias("y")), "key").select(F.col("node").alias("x"), "y")
             .filter("x <> y").distinct())
     far = signature_distance(F.col("sx"), F.col("sy"))
-    star = (star.join(sigs.select(F.col("node").alias("x"), F.col("sig").alias("sx")), "x")
+    star = (star.join(classes.select(F.col("node").alias("x"), F.col("sig").alias("sx"), "bytes"), "x")
             .join(sigs.select(F.col("node").alias("y"), F.col("sig").alias("sy")), "y")
-            .select("x", "y", far.alias("far")).filter(F.col("far") <= MAX_ERRORS))
-    star = staged(star.groupBy("x").agg(F.min(F.struct("far", "y")).alias("b")).select("x", F.col("b.y").alias("y")))
+            .select("x", "y", far.alias("far"), "bytes").filter(F.col("far") <= MAX_ERRORS))
+    star = staged(star.groupBy("x").agg(F.min(F.struct("far", "y", "bytes")).alias("b"))
+                  .select("x", F.col("b.y").alias("y"), F.col("b.bytes").alias("bytes")))
     ids = classes.select("node", "id", "s1", "s2")
 
     def sets_of(pairs):
         nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
         return staged(_set_table(docs, staged(nodes.join(ids, "node")), id_col, text_col, size))
-    links = staged(confirm(star.select(F.col("y").alias("cell"), F.col("y").alias("x"), F.col("x").alias("y")),
+    links = staged(confirm(star.select(F.col("y").alias("cell"), F.col("y").alias("x"), F.col("x").alias("y"), "bytes"),
                            sets_of(star), share))
     comp = staged(connected_components(links))
 
@@ -370,8 +381,9 @@ def resolve(docs: DataFrame, id_col: str, text_col: str, size: int, share: int)
     m = m.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     members = staged(m.mapInArrow(_bucket_visits, "cell long, node long").distinct())
     sets = staged(_set_table(docs, staged(members.select("node").distinct().join(ids, "node")), id_col, text_col, size))
-    cells = (in_blocks(with_group_rows(members, "cell", "n"), "cell", CELL // 2).join(comp, "node", "left")
-             .withColumn("comp", F.coalesce("comp", "node")).join(sets, "node"))
+    sized = members.join(classes.select("node", "bytes"), "node")
+    cells = (in_blocks(with_group_rows(sized, "cell", "n", rows_by_bytes()).drop("bytes"), "cell", CELL // 2)
+             .join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sets, "node"))
     links2 = cells.groupBy("cell", "lo", "hi").applyInArrow(_cell_links(share), "u long, v long")
     final = connected_components(links.unionByName(links2))
     labelled = staged(classes.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
