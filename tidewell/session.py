@@ -7,6 +7,7 @@ The library never creates its own session inside an operator; jobs receive one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,12 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator of the cluster to a shared file
-    system; only local runs and tests may leave it unset and get a fresh folder
+    system; only runs inside one process (``local``, ``local[n]``) may leave it unset and get a fresh folder
     under the system temp directory.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="tidewell-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
