@@ -55,7 +55,7 @@ def test_correlation_importance_of_constants(spark):
     assert got == {"x": 0.0, "Demand": 0.0}
 
 
-@pytest.mark.parametrize("name", ["drift_severity_dynamic", "feature_families"])
+@pytest.mark.parametrize("name", ["drift_severity_dynamic", "feature_families", "importance_thresholds"])
 def test_queries_with_a_constant_feature(spark, tmpdir_path, name):
     _tables(spark, tmpdir_path)
     con = duckdb.connect()
