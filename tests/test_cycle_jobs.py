@@ -226,6 +226,22 @@ def test_stream_late_arrival_of_older_uploads(spark, tmpdir_path, order):
         == {"2019-01": "two.parquet", "2019-02": "three.parquet", "2019-03": "three.parquet"}
 
 
+@pytest.mark.parametrize("max_files", [1, 2, None])
+def test_stream_part_files_are_one_upload(spark, tmpdir_path, max_files):
+    src, at = f"{tmpdir_path}/up", 1000
+    for day, products in ((D(2019, 1, 4), "abc"), (D(2019, 1, 11), "de")):       # the second write is the newer upload
+        out = f"{src}-{day}"
+        spark.createDataFrame([(day, p, 1.0) for p in products], UPLOAD).repartitionByRange(len(products), "Product").write.parquet(out)
+        os.makedirs(src, exist_ok=True)
+        for f in sorted(f for f in os.listdir(out) if f.endswith(".parquet")):
+            os.rename(f"{out}/{f}", f"{src}/{f}")
+            os.utime(f"{src}/{f}", (at, at))
+            at += 10
+    jobs.ingest_actuals_stream(spark, src, UPLOAD, f"{tmpdir_path}/t", f"{tmpdir_path}/ck", f"{tmpdir_path}/st",
+                               max_files=max_files).awaitTermination()
+    assert sorted(r.Product for r in spark.read.parquet(f"{tmpdir_path}/t").collect()) == ["d", "e"]
+
+
 # ── cycle status ───────────────────────────────────────────────────────────
 def test_cycle_status_steps(spark):
     hist = weekly(spark, weeks=8)                          # to 2019-02

@@ -24,12 +24,14 @@ def ingest_actuals_stream(spark: SparkSession, source_dir: str, schema, table_pa
                           max_files: int | None = None):
     """Uploaded files of actuals replace their months in the history table (K5).
 
-    A month's content is the newest upload that holds it (by modification time, then path),
-    however the files fall into micro-batches and in whatever order they arrive. The stream's
+    An upload is a file, or the part files of one Spark write, which share the write's id. A
+    month's content is the newest upload that holds it (by modification time, then path),
+    however the files fall into micro-batches and in whatever order they arrive; part files of
+    the upload that a month holds already are added to it. The stream's
     ledger of (month, modification time, file), kept next to its checkpoint, says which upload
     a month holds: a batch replaces a month only by an upload newer than the ledger's. Each
     batch writes its own ledger partition after the months; a retried batch reads the ledger of
-    earlier batches only, so it decides alike and rewrites the same partitions. Inside a file
+    earlier batches only, so it decides alike and rewrites the same partitions. Inside an upload
     the last row per series and date wins (A22); rows without a date are dropped. ``Store`` is
     optional."""
     stream = spark.readStream.schema(schema).format(file_format)
@@ -40,22 +42,38 @@ def ingest_actuals_stream(spark: SparkSession, source_dir: str, schema, table_pa
     stream = stream.load(source_dir).select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_mtime"),
         F.col("_metadata.file_block_start").alias("_block"))
+    part = r"/part-\d+-([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})[^/]*$"
+    stream = stream.withColumn("_upload", F.regexp_replace("_file", part, "/$1"))
     ledger_path = f"{checkpoint.rstrip('/')}/month-ledger"
+    helpers = ["_upload", "_mtime", "_file", "_block", "_line"]
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         rows = (batch.where(F.col("Date").isNotNull())
                 .withColumns({"month": year_month("Date"), "_line": F.monotonically_increasing_id()}))
-        claims = rows.groupBy("month").agg(F.max(F.struct("_mtime", "_file")).alias("_claim"))
+        claims = rows.groupBy("month", "_upload").agg(F.max("_mtime").alias("_mtime"))
         held = read_ledger(spark, ledger_path).where(F.col("epoch") < epoch)
-        held = held.groupBy("month").agg(F.max(F.struct(F.col("mtime").alias("_mtime"), F.col("file").alias("_file"))).alias("_held"))
-        wins = cut_lineage(claims.join(held, "month", "left").where(F.col("_held").isNull() | (F.col("_claim") > F.col("_held")))
-                           .select("month", "_claim._mtime", "_claim._file"))
+        held = held.groupBy("month").agg(F.max(F.struct("mtime", "file")).alias("_held"))
+        held = held.select("month", F.col("_held.mtime").alias("_held_mtime"), F.col("_held.file").alias("_held_upload"))
+        claims = claims.join(held, "month", "left")
+        # further part files of the upload held count with it, whichever was written last
+        claims = claims.withColumn("_more", F.coalesce(F.col("_upload") == F.col("_held_upload"), F.lit(False)))
+        claims = claims.withColumn("_mtime", F.when(F.col("_more"), F.greatest("_mtime", "_held_mtime")).otherwise(F.col("_mtime")))
+        newest = F.max(F.struct("_mtime", "_upload", "_more", "_held_mtime", "_held_upload")).alias("_claim")
+        c, h = F.struct("_mtime", "_upload"), F.struct("_held_mtime", "_held_upload")
+        wins = cut_lineage(claims.groupBy("month").agg(newest).select("month", "_claim.*")
+                           .where(F.col("_more") | F.col("_held_upload").isNull() | (c > h))
+                           .select("month", "_mtime", "_upload", "_more"))
         if wins.limit(1).count():
-            newest = rows.join(wins.select("month", "_file"), ["month", "_file"])
-            keys = [*series_keys(newest), "Date"]
-            newest = dedupe_last(newest.drop("_mtime", "_file"), keys, ["_block", "_line"]).drop("_block", "_line")
-            replace_month_partitions(newest, table_path, staging_root)
-        (wins.select("month", F.col("_mtime").alias("mtime"), F.col("_file").alias("file"))
+            found = rows.join(wins.select("month", "_upload"), ["month", "_upload"])
+            added_to = [r.month for r in wins.where("_more").select("month").collect()]
+            if added_to:
+                table = spark.read.schema(rows.drop(*helpers).schema).parquet(table_path)
+                found = found.unionByName(table.where(F.col("month").isin(added_to)), allowMissingColumns=True)
+            keys = [*series_keys(found), "Date"]
+            # rows of the table have no file: they come first
+            found = dedupe_last(found, keys, ["_mtime", "_file", "_block", "_line"]).drop(*helpers)
+            replace_month_partitions(found, table_path, staging_root)
+        (wins.select("month", F.col("_mtime").alias("mtime"), F.col("_upload").alias("file"))
          .coalesce(1).write.mode("overwrite").parquet(f"{ledger_path}/epoch={epoch}"))
 
     return (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
