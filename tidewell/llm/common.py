@@ -6,8 +6,9 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.session import ensure_checkpoint_dir
@@ -41,6 +42,17 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bit_table(df: DataFrame, slot: Column, bits: int) -> np.ndarray:
+    """``bits`` bits as 64-bit words, those of the column ``slot`` (0 to ``bits`` - 1) set. The
+    words reach the driver as Arrow columns (16 bytes a word), not as a Row each."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    got = (df.select(F.shiftright(slot, 6).cast("long").alias("w"), bit.alias("b"))
+           .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())               # at most bits / 64 rows
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
+    return out
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str,
                 max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into zero-copy runs of rows of about ``max_bytes`` of text (a

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import arrow_words as A
-from tidewell.llm.common import free_names, importable, staged, text_slices
+from tidewell.llm.common import bit_table, free_names, importable, staged, text_slices
 
 WINDOW = 10
 FILTER_BITS = 1 << 26
@@ -72,22 +72,16 @@ def benchmark_windows(items: DataFrame, item_col: str, text_col: str, size: int)
 
 
 def _filter_table(windows: DataFrame) -> np.ndarray:
-    """The bit table of all benchmark terms (at most FILTER_BITS / 64 rows are collected)."""
+    """The bit table of all benchmark terms (FILTER_BITS / 64 words)."""
     slot = F.shiftright(F.col("t"), 13).bitwiseAND(FILTER_BITS - 1)
-    rows = (windows.select(F.explode("terms").alias("t")).distinct()
-            .select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("b"))
-            .groupBy("w").agg(F.bit_or("b").alias("b")).collect())
-    table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    for r in rows:
-        table[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
-    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+    return bit_table(windows.select(F.explode("terms").alias("t")).distinct(), slot, FILTER_BITS)
 
 
 def build_index(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))     # FILTER_BITS / 8 bytes
+    bits = docs.sparkSession.sparkContext.broadcast(wanted)     # FILTER_BITS / 8 bytes
 
     def post(batches):
-        asked = np.unpackbits(bits.value).view(bool)
+        asked = np.unpackbits(bits.value.view(np.uint8), bitorder="little").view(bool)
         part = TaskContext.get().partitionId()
         for k, batch in enumerate(text_slices(batches, "text")):
             w, h = _words(batch.column("text"))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from tidewell.llm import arrow_words as A
-from tidewell.llm.common import free_names, importable, staged, text_slices
+from tidewell.llm.common import bit_table, free_names, importable, staged, text_slices
 from tidewell.llm.components import connected_components
 
 SYMBOLS, CHUNK, BITS = 48, 4, 16
@@ -303,13 +303,7 @@ def _set_table(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, si
     """(node, set) of the given classes, read from the text of each class's smallest id. A
     bit table of fixed size drops other documents before the join."""
     slot = F.pmod(F.xxhash64(F.lit(61), F.col("id")), F.lit(FILTER_BITS))
-    rows = (nodes.select(F.shiftright(slot, 6).alias("w"),
-                         F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("b"))
-            .groupBy("w").agg(F.bit_or("b").alias("b")).collect())           # at most FILTER_BITS / 64 rows
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in rows:
-        table[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
-    bits = docs.sparkSession.sparkContext.broadcast(table)
+    bits = docs.sparkSession.sparkContext.broadcast(bit_table(nodes, slot, FILTER_BITS))
 
     def sets(batches):
         for batch in text_slices(batches, "text"):
